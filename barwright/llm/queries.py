@@ -11,6 +11,7 @@ from .common import new_path
 from .mixing import mix_plan
 from .near_dedup import NearDedup, near_duplicates
 from .packing import Packing, pack
+from . import toxicity
 from .token_files import TokenFiles, read_token_files, with_crc32, write_token_files
 
 
@@ -44,11 +45,18 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_crc32(read_token_files(spark, path))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
     "op5_token_files": op5_token_files,
+    "op7_toxicity": op7_toxicity,
 }
 
 SQL: dict[str, str] = {}
