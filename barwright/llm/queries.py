@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path
+from . import line_chunks
 from .mixing import mix_plan
 from .near_dedup import NearDedup, near_duplicates
 from .packing import Packing, pack
@@ -45,6 +46,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_crc32(read_token_files(spark, path))
 
 
+def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_chunks.line_dedup(table(spark, sf_dir, "documents"))
+    kept = F.col("kept_text")
+    return rows.select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.length(kept).cast("long").alias("kept_chars"), F.md5(kept.cast("binary")).alias("kept_md5"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -56,7 +63,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
     "op5_token_files": op5_token_files,
+    "op6_line_chunks": op6_line_chunks,
     "op7_toxicity": op7_toxicity,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_line_chunks": line_chunks.sql(),
+}
