@@ -13,6 +13,7 @@ from .mixing import mix_plan
 from .near_dedup import NearDedup, near_duplicates
 from .packing import Packing, pack
 from . import toxicity
+from .syncmers import fingerprints_and_edits
 from .token_files import TokenFiles, read_token_files, with_crc32, write_token_files
 
 
@@ -40,6 +41,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints_and_edits(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     write_token_files(table(spark, sf_dir, "documents"), path, TokenFiles(vocabulary("word_bpe_49k.json")))
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
+    "op4_syncmers": op4_syncmers,
     "op5_token_files": op5_token_files,
     "op6_line_chunks": op6_line_chunks,
     "op7_toxicity": op7_toxicity,
