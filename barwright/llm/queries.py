@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path
-from . import line_chunks
+from . import line_chunks, media, url_filter
 from .mixing import mix_plan
 from .near_dedup import NearDedup, near_duplicates
 from .packing import Packing, pack
@@ -63,6 +63,19 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+    labelled = spark.createDataFrame(url_filter.LABELLED, "url string, label int")
+    return url_filter.judge(table(spark, sf_dir, "pages"), labelled, url_filter.UrlFilter(rules))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store(table(spark, sf_dir, "documents"))
+    pages = media.interleaved(stored.select(F.struct("doc_id", "n_bytes").alias("document"), "html"), "document")
+    rows = media.resolved(pages, "document", media.features(stored))
+    return rows.select("document.doc_id", "document.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_mixing": op2_mixing,
@@ -71,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_line_chunks": op6_line_chunks,
     "op7_toxicity": op7_toxicity,
+    "op8_url_filter": op8_url_filter,
+    "op10_media": op10_media,
 }
 
 SQL: dict[str, str] = {
