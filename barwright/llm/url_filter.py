@@ -23,6 +23,10 @@ LABELLED = [
     ("https://thin.example.net/en/510", 0), ("https://thing.example.org/es/33/", 0), ("http://blog.nation.example.net/en/827?page=2&ref=x", 0),
     ("https://m.station.example.org/de/96#top", 0), ("https://www.tension.example.net/en/455", 0), ("https://farm.example.org/en/animals/3", 0),
     ("https://www.pharmacy.example.org/en/hours", 0), ("https://railway.example.net/en/tracks/7", 0), ("https://chess.example.org/en/games/19", 0),
+    ("https://thanor.example.net/en/118#top", 0), ("http://therest.example.net/de/22.html", 0), ("https://m.thatsh.example.net/en/84", 0),
+    ("https://onthis.example.net/en/905?utm_source=feed", 0), ("http://m.eraton.example.net/de/467/", 0), ("https://thenda.example.net/de/3?page=2&ref=x", 0),
+    ("https://thsh.example.net/en/77.html", 0), ("http://stionth.example.net/en/671#top", 0), ("https://m.theat.example.net/de/590", 0),
+    ("https://ndthat.example.net/en/262/", 0), ("http://thest.example.net/de/815#top", 0), ("https://www.themed.example.net/en/349.html", 0),
     ("http://free-bets.example.org/en/1", 1), ("https://www.free-bets.example.net/de/22?ref=x", 1), ("https://m.casino-win.example.org/en/7", 1),
     ("http://casino-win.example.net/en/500.html", 1), ("https://blog.cheap-pills.example.org/en/3", 1), ("https://cheap-pills.example.net/de/41#top", 1),
     ("https://ads-track.example.org/en/9/", 1), ("http://www.ads-track.example.net/en/710", 1), ("https://m.adult-x.example.org/fr/5", 1),
