@@ -13,6 +13,7 @@ from .mixing import mix_plan
 from .near_dedup import NearDedup, near_duplicates
 from .packing import Packing, pack
 from . import toxicity
+from .passages import repeated_passages
 from .syncmers import fingerprints_and_edits
 from .token_files import TokenFiles, read_token_files, with_crc32, write_token_files
 
@@ -69,6 +70,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), labelled, url_filter.UrlFilter(rules))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store(table(spark, sf_dir, "documents"))
     pages = media.interleaved(stored.select(F.struct("doc_id", "n_bytes").alias("document"), "html"), "document")
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_chunks": op6_line_chunks,
     "op7_toxicity": op7_toxicity,
     "op8_url_filter": op8_url_filter,
+    "op9_passages": op9_passages,
     "op10_media": op10_media,
 }
 
