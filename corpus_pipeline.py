@@ -1,22 +1,51 @@
-"""The corpus pipeline: each stage's result is written as Parquet and read again as the next stage's documents."""
+"""The corpus pipeline: toxic documents go, repeated chunks of lines go, one document of each near-duplicate group
+stays, sources are mixed to target weights, and what is left is packed into windows.
+
+Each stage's result is written as Parquet and read again as the next stage's documents. All stages but the last return
+the columns of documents; a document that the mix takes twice is two rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from barwright.llm.common import written
+from barwright.llm.line_chunks import without_repeats
+from barwright.llm.mixing import mixed
 from barwright.llm.near_dedup import deduplicated
+from barwright.llm.packing import Packing, pack
+from barwright.llm.queries import vocabulary
+from barwright.llm.toxicity import clean
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_repeats(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return deduplicated(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, Packing(vocabulary("byte_bpe_50k.json")))
+
 
-STAGES = [
-    ("near_dedup", lambda spark, docs, sf_dir: deduplicated(docs)),
-]
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
 
-#: Sketches, models and packing have no SQL form; tests hold the stages against brute force.
+#: Models, sketches, the splitting tree and packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
