@@ -12,19 +12,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks
-from .tokens import WordEncoder
+from .tokens import encoder
 
 
 @dataclass(frozen=True)
 class Packing:
     """window: tokens of a sequence. end_id: the id after each document. group: documents that are packed together.
-    piece: the longest piece of what is left of a document after its full windows."""
+    piece: the longest piece of what is left of a document after its full windows. remembered: words of which a worker
+    keeps the ids."""
 
     tokenizer: str
     window: int = 1024
     end_id: int = 0
-    group: int = 256
+    group: int = 192
     piece: int = 256
+    remembered: int = 1_000_000
 
 
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
@@ -34,23 +36,36 @@ def differencing(sizes: list[int], windows: int) -> list[list[int]]:
     spread are merged, largest sum with smallest, so that opposing imbalances cancel.
     """
     heap = []
-    for i, s in enumerate(sizes):
+    for i, n in enumerate(sizes):
         sums = np.zeros(windows, np.int64)
-        sums[0] = s
-        heap.append((-s, i, sums, [[i]] + [[] for _ in range(windows - 1)]))
+        sums[0] = n
+        heap.append((-n, i, sums))
     heapq.heapify(heap)
-    made = len(sizes)
+    slot, bits = np.arange(windows), max(1, (windows - 1).bit_length())
+    merges = []
     while len(heap) > 1:
-        _, _, a, left = heapq.heappop(heap)
-        _, _, b, right = heap[0]
-        sums = a + b[::-1]
-        order = np.argsort(-sums, kind="stable")
-        sums = sums[order]
+        _, a, left = heapq.heappop(heap)
+        _, b, right = heap[0]
+        sums = ((left + right[::-1]) << bits) + slot
+        sums.sort()
+        sums = sums[::-1]
+        order = sums & ((1 << bits) - 1)
+        sums >>= bits
         sums -= sums[-1]
-        slots = [left[i] + right[windows - 1 - i] for i in order.tolist()]
-        heapq.heapreplace(heap, (-int(sums[0]), made, sums, slots))
-        made += 1
-    return heap[0][3] if heap else []
+        heapq.heapreplace(heap, (-int(sums[0]), len(sizes) + len(merges), sums))
+        merges.append((a, b, order))
+    # From the last merge back, each partition learns which window its slots ended in.
+    ended = {heap[0][1]: slot} if heap else {}
+    for i in range(len(merges) - 1, -1, -1):
+        a, b, order = merges[i]
+        window = ended.pop(len(sizes) + i)
+        ended[a] = was = np.empty_like(window)
+        was[order] = window
+        ended[b] = was[::-1]
+    sets: list[list[int]] = [[] for _ in range(windows)]
+    for i in range(len(sizes)):
+        sets[ended[i][0]].append(i)
+    return sets
 
 
 def packed(lengths: list[int], window: int, piece: int) -> list[tuple[int, int, int, int, int]]:
@@ -94,7 +109,7 @@ def pack(docs: DataFrame, c: Packing) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, base = WordEncoder(c.tokenizer), TaskContext.get().partitionId() << 33
+        words, base = encoder(c.tokenizer, c.remembered), TaskContext.get().partitionId() << 33
         end = np.array([c.end_id], "<u4").tobytes()
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
@@ -110,7 +125,7 @@ def pack(docs: DataFrame, c: Packing) -> DataFrame:
 
         group: list[tuple[int | None, bytes]] = []
         for b in chunks(batches, 128):
-            group += zip(b.column(0).to_pylist(), [ids + end for ids in encoder.encode(b.column(1).to_pylist())], strict=True)
+            group += zip(b.column(0).to_pylist(), [ids + end for ids in words.encode(b.column(1).to_pylist())], strict=True)
             if len(group) >= c.group:
                 yield sequences(group)
                 group = []

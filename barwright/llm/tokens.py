@@ -3,57 +3,77 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 
 _BLANK = " \t\n\r\x0b\x0c"
-#: White space with the word after it, or white space that ends the text. Both tokenizer kinds begin a new token where
-#: ASCII white space follows another character, so that these pieces can be encoded apart.
-_PIECE = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
+_STOP = ".,;:!?"
+#: White space with the word after it up to a stop mark, a stop mark with what follows, or white space that ends the
+#: text. Both tokenizer kinds begin a new token where ASCII white space follows another character and where a stop mark
+#: follows a letter or digit, so that these pieces can be encoded apart.
+_PIECE = re.compile(rf"[{_BLANK}]*(?:[^{_BLANK}{_STOP}]+(?:(?<![0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])[^{_BLANK}]+)?|[{_STOP}][^{_BLANK}]*)|[{_BLANK}]+")
 #: Other white space, next to which a run of blanks may be cut differently: such texts are encoded whole.
 _OTHER_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-class WordEncoder:
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_WORD = re.compile(f"(\n?)( ?[{_LETTERS}]+)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """How a byte-level vocabulary spells characters up to U+00FF: printable bytes stand for themselves, the others for
+    the characters from U+0100 on, in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spelled = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
+    return {ch: "".join(spelled[b] for b in chr(ch).encode()) for ch in range(256)}
+
+
+class WordEncoder(dict):
     """Encodes texts by the tokenizers library and remembers the ids of words, up to ``limit`` of them.
 
     The ids equal those of ``Tokenizer.encode(text, add_special_tokens=False)`` where strings of special tokens in a
-    text are ordinary text. New words go through the library in one call, parted by a special token.
+    text are ordinary text. A new word of plain letters goes to the library's model at once; any other new piece, and
+    a text with unusual white space, goes through the whole library.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
-        self.plain, self.parted = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
-        self.parted.encode_special_tokens = False
-        self.end = "<|endoftext|>"
-        self.end_id = self.parted.token_to_id(self.end)
-        self.known: dict[str, bytes] = {}
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.model, self.spelled, self.lowers = self.tokenizer.model, _byte_letters(), self.tokenizer.normalizer is not None
         self.limit = limit
+        self.line = self._whole("\n")
+        probe = ["the", " the", "Straße", " été", "\nÜnder", "\n naïveté", "zzzyxq", " Ñandú"]
+        self.direct = [self._plain(*_WORD.fullmatch(w).groups()) for w in probe] == [self._whole(w) for w in probe]
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        odd = [w for w in words if "<|" in w]
-        words = [w for w in words if "<|" not in w]
-        for i in range(0, len(words), 20_000):
-            some = words[i : i + 20_000]
-            ids = np.array(self.parted.encode_batch_fast([self.end.join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.end_id)
-            starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-            data = ids.tobytes()
-            self.known.update((w, data[4 * a : 4 * b]) for w, a, b in zip(some, starts, ends, strict=True))
-        for w in odd:
-            self.known[w] = self._whole(w)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _plain(self, line: str, word: str) -> bytes:
+        word = word.strip(" ").lower() if self.lowers else word
+        ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word.translate(self.spelled))])
+        return self.line + ids if line else ids
+
+    def __missing__(self, piece: str) -> bytes:
+        if self.direct and (found := _WORD.fullmatch(piece)):
+            ids = self._plain(found[1], found[2])
+        else:
+            ids = self._whole(piece)
+        if len(self) >= self.limit:
+            self.clear()
+        self[piece] = ids
+        return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; null is the empty text."""
-        pieces = [None if t and _OTHER_BLANK.search(t) else _PIECE.findall(t or "") for t in texts]
-        if len(self.known) > self.limit:
-            self.known.clear()
-        if new := set().union(*(p for p in pieces if p)) - self.known.keys():
-            self._learn(sorted(new))
-        get = self.known.__getitem__
-        return [self._whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, pieces, strict=True)]
+        get = self.__getitem__
+        return [self._whole(t) if t and _OTHER_BLANK.search(t) else b"".join(map(get, _PIECE.findall(t or ""))) for t in texts]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, limit: int) -> WordEncoder:
+    """The process's encoder: tasks that run in one Python worker after another share what it remembers."""
+    return WordEncoder(path, limit)
