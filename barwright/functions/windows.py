@@ -6,16 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SERIES = W.partitionBy("symbol").orderBy("ts")
-WHOLE = W.partitionBy("symbol")
+
+def series() -> W:
+    """A symbol's rows in the order of ts."""
+    return W.partitionBy("symbol").orderBy("ts")
+
+
+def whole() -> W:
+    return W.partitionBy("symbol")
 
 
 def rows(n: int, skip: int = 0) -> W:
     """The last ``n`` rows; with ``skip`` 1 those before the current one."""
-    return SERIES.rowsBetween(-(n - 1) - skip, -skip)
+    return series().rowsBetween(-(n - 1) - skip, -skip)
 
 
-SO_FAR = SERIES.rowsBetween(W.unboundedPreceding, 0)
+def so_far() -> W:
+    return series().rowsBetween(W.unboundedPreceding, 0)
 
 
 def col(x: str | Column) -> Column:
@@ -32,7 +39,7 @@ def sma(x: str | Column, n: int) -> Column:
 
 
 def lag(x: str | Column, n: int = 1) -> Column:
-    return F.lag(col(x), n).over(SERIES)
+    return F.lag(col(x), n).over(series())
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -52,7 +59,7 @@ def rank_pct(values: Column, x: Column) -> Column:
 
 
 def row_number() -> Column:
-    return F.row_number().over(SERIES)
+    return F.row_number().over(series())
 
 
 def rounded(df: DataFrame, names: list[str], digits: int = 6) -> DataFrame:

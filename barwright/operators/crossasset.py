@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.windows import SERIES, SO_FAR, lag, ratio, rolling, rows, safe_ln
+from ..functions.windows import series, so_far, lag, ratio, rolling, rows, safe_ln
 
 
 def align(df: DataFrame, reference: DataFrame) -> DataFrame:
     """Adds ref_close: the reference's close on the same ts, carried forward over the target's rows."""
     ref = reference.groupBy("ts").agg(F.max_by("close", F.col("close")).alias("__ref"))
-    return df.join(ref, "ts", "left").withColumn("ref_close", F.last("__ref", ignorenulls=True).over(SO_FAR)).drop("__ref")
+    return df.join(ref, "ts", "left").withColumn("ref_close", F.last("__ref", ignorenulls=True).over(so_far())).drop("__ref")
 
 
 def relative(df: DataFrame, windows: tuple[int, ...] = (5, 20, 60)) -> DataFrame:
@@ -51,7 +51,7 @@ def conditional_beta(df: DataFrame, w: int = 60) -> DataFrame:
         use = both & side
         n = F.count(F.when(use, 1)).over(rows(w, 1))
         slope = F.regr_slope(F.when(use, F.col("rt")), F.when(use, F.col("rr"))).over(rows(w, 1))
-        out[f"beta_{name}vol_{w}"] = F.when((F.row_number().over(SERIES) > w) & (n >= 10), slope)
+        out[f"beta_{name}vol_{w}"] = F.when((F.row_number().over(series()) > w) & (n >= 10), slope)
     return df.withColumns(out).drop("__v", "__high")
 
 
@@ -67,7 +67,7 @@ def hedge(df: DataFrame, n: int = 120) -> DataFrame:
 
 def macro_proxies(df: DataFrame) -> DataFrame:
     """Deterministic rate cycles by row number, and whether the rate rose or fell against ten rows before (circular)."""
-    df = df.withColumn("__i", F.row_number().over(SERIES) - 1)
+    df = df.withColumn("__i", F.row_number().over(series()) - 1)
     days = F.least(F.greatest((F.year("ts") - 2000) * 2 + 230, F.lit(230)), F.lit(252))
     rate = lambda k: F.sin(2 * math.pi * F.col("__i") / days / k)
     df = df.withColumns({"interest_rate_proxy": rate(5) * 2 + 3, "yield_curve_slope_proxy": rate(3)})
@@ -80,7 +80,7 @@ def macro_proxies(df: DataFrame) -> DataFrame:
 
 def market_flags(df: DataFrame) -> DataFrame:
     """bull_market_proxy, high_vol_regime, high_correlation_regime of the close."""
-    df = df.withColumns({"__r": ratio(F.col("close"), lag("close")) - 1, "__i": F.row_number().over(SERIES) - 1})
+    df = df.withColumns({"__r": ratio(F.col("close"), lag("close")) - 1, "__i": F.row_number().over(series()) - 1})
     df = df.withColumn("__v", math.sqrt(252) * rolling(F.stddev_samp("__r"), "__r", 20))
     a, b = rolling(F.avg("close"), "close", 100), rolling(F.avg("close"), "close", 200)
     calm = rolling(F.avg("__v"), "__v", 100)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import SERIES, SO_FAR, WHOLE, lag, rank_pct, ratio, rolling, rows, safe_ln, sma
+from ..functions.windows import series, so_far, whole, lag, rank_pct, ratio, rolling, rows, safe_ln, sma
 
 
 def returns(df: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def vol_percentile(df: DataFrame, x: str = "rolling_vol_20", n: int = 252) -> Da
 def vol_regime(df: DataFrame, x: str = "vol_percentile") -> DataFrame:
     """Quintile of the percentile over the whole series (0.5 where unknown), by linear-interpolated, right-closed edges."""
     v = F.round(F.coalesce(F.col(x), F.lit(0.5)), 10)
-    df = df.withColumn("__e", F.transform(F.percentile(v, F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8)))).over(WHOLE), lambda e: F.round(e, 10)))
+    df = df.withColumn("__e", F.transform(F.percentile(v, F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8)))).over(whole()), lambda e: F.round(e, 10)))
     number = sum((v > F.element_at("__e", i)).cast("int") for i in range(1, 5))
     names = F.array(*map(F.lit, ("very_low", "low", "medium", "high", "very_high")))
     return df.withColumn("vol_regime_numeric", number).withColumn("vol_regime", F.element_at(names, F.col("vol_regime_numeric") + 1)).drop("__e")
@@ -67,7 +67,7 @@ def vol_seasonality(df: DataFrame, x: str = "rolling_vol_20") -> DataFrame:
     df = df.withColumns({f"__{n}": p for n, p in parts.items()})
     from pyspark.sql import Window as W
 
-    return df.withColumns({n: ratio(F.avg(x).over(W.partitionBy("symbol", f"__{n}")), F.avg(x).over(WHOLE)) for n in parts}).drop(*(f"__{n}" for n in parts))
+    return df.withColumns({n: ratio(F.avg(x).over(W.partitionBy("symbol", f"__{n}")), F.avg(x).over(whole())) for n in parts}).drop(*(f"__{n}" for n in parts))
 
 
 def tail_risk(df: DataFrame, n: int = 252) -> DataFrame:
@@ -87,8 +87,8 @@ def tail_risk(df: DataFrame, n: int = 252) -> DataFrame:
 
 def drawdown(df: DataFrame) -> DataFrame:
     """Growth of one from returns, its running peak (1 at least) and the drawdown from the peak."""
-    df = df.withColumn("growth", F.product(1 + F.coalesce(F.col("returns"), F.lit(0.0))).over(SO_FAR))
-    peak = F.greatest(F.max("growth").over(SO_FAR), F.lit(1.0))
+    df = df.withColumn("growth", F.product(1 + F.coalesce(F.col("returns"), F.lit(0.0))).over(so_far()))
+    peak = F.greatest(F.max("growth").over(so_far()), F.lit(1.0))
     return df.withColumn("drawdown", ratio(F.col("growth"), peak) - 1)
 
 
@@ -103,9 +103,9 @@ def hurst(df: DataFrame, n: int = 100) -> DataFrame:
     mean = sum(x) / len(x)
     spread = sum((v - mean) ** 2 for v in x)
     df = df.withColumns({f"__d{i}": F.col("close") - lag("close", i) for i in lags})
-    df = df.withColumns({f"__t{i}": F.stddev_pop(f"__d{i}").over(SERIES.rowsBetween(-(n - i), -1)) for i in lags})
+    df = df.withColumns({f"__t{i}": F.stddev_pop(f"__d{i}").over(series().rowsBetween(-(n - i), -1)) for i in lags})
     slope = sum((F.lit((v - mean) / spread) * F.log10(F.sqrt(F.when(F.col(f"__t{i}") > 0, F.col(f"__t{i}")))) for i, v in zip(lags, x, strict=True)), F.lit(0.0))
-    df = df.withColumn("hurst_exponent", F.when(F.row_number().over(SERIES) > n, 2 * slope).otherwise(0.0)).drop(*(f"__{k}{i}" for k in "dt" for i in lags))
+    df = df.withColumn("hurst_exponent", F.when(F.row_number().over(series()) > n, 2 * slope).otherwise(0.0)).drop(*(f"__{k}{i}" for k in "dt" for i in lags))
     h = F.round("hurst_exponent", 10)
     return df.withColumns({"fractal_dimension": 2 - F.col("hurst_exponent"), "self_similarity": F.when(h > 0.5, (F.col("hurst_exponent") - 0.5) * 5).when(h == 0.5, 1.0).otherwise(0.0)})
 
@@ -115,16 +115,16 @@ def permutation_entropy(df: DataFrame, n: int = 100) -> DataFrame:
     a, b, c = lag("close", 2), lag("close", 1), F.col("close")
     code = F.when((a <= b) & (b <= c), 0).when((a <= c) & (c < b), 1).when((b < a) & (a <= c), 2).when((c < a) & (a <= b), 3).when((b <= c) & (c < a), 4).otherwise(5)
     df = df.withColumn("__c", F.when(a.isNotNull(), code))
-    frame = SERIES.rowsBetween(-(n - 2), -1)
+    frame = series().rowsBetween(-(n - 2), -1)
     shares = [F.count_if(F.col("__c") == i).over(frame) / (n - 2) for i in range(6)]
     entropy = sum((F.when(p > 0, -p * F.log2(p)).otherwise(0.0) for p in shares), F.lit(0.0))
-    return df.withColumn("perm_entropy", F.when(F.row_number().over(SERIES) > n, entropy / math.log2(6))).drop("__c")
+    return df.withColumn("perm_entropy", F.when(F.row_number().over(series()) > n, entropy / math.log2(6))).drop("__c")
 
 
 def spectral_density(df: DataFrame, n: int = 100) -> DataFrame:
     """Sum of squared amplitudes of the n rows before (0 during warm-up), by Parseval's identity without a transform."""
     frame = rows(n, 1)
-    df = df.withColumn("__i", F.row_number().over(SERIES)).withColumn("__a", F.when(F.col("__i") % 2 == 0, F.col("close")).otherwise(-F.col("close")))
+    df = df.withColumn("__i", F.row_number().over(series())).withColumn("__a", F.when(F.col("__i") % 2 == 0, F.col("close")).otherwise(-F.col("close")))
     s, a, q = F.sum("close").over(frame), F.sum("__a").over(frame), F.sum(F.col("close") * F.col("close")).over(frame)
     return df.withColumn("spectral_density", F.when(F.col("__i") > n, (n * q + s * s + a * a) / 2).otherwise(0.0)).drop("__i", "__a")
 

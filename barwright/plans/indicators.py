@@ -34,7 +34,10 @@ add("kst", t.kst, [{f"r{i}": f"(close - {lag('close', p)}) / nullif({lag('close'
 MF = {"t": TYP, "clv": "coalesce(((close - low) - (high - close)) / nullif(high - low, 0), 0)", "d": f"close - {lag('close')}"}
 MF2 = {"u": f"CASE WHEN t > {lag('t')} THEN t * volume ELSE 0 END", "w": f"CASE WHEN t < {lag('t')} THEN t * volume ELSE 0 END", "em": f"((high + low) / 2 - ({lag('high')} + {lag('low')}) / 2) * (high - low) / nullif(volume, 0)", "r": f"d / nullif({lag('close')}, 0)"}
 MF3 = {"su": full("sum(u)", 14), "sw": full("sum(w)", 14)}
-add("money_flow", t.money_flow, [MF, MF2, MF3], {"mfi": "CASE WHEN su IS NULL THEN NULL WHEN sw = 0 THEN 100 ELSE 100 - 100 / (1 + su / nullif(sw, 0)) END", "cmf": f"{full('sum(clv * volume)', 14)} / nullif({full('sum(volume)', 14)}, 0)", "adi": f"sum(clv * volume) {SO_FAR}", "obv": f"sum(CASE WHEN d > 0 THEN volume WHEN d < 0 THEN -volume ELSE 0 END) {SO_FAR}", "vpt": f"sum(coalesce(r * volume, 0)) {SO_FAR}", "vwap": f"{full('sum(t * volume)', 14)} / nullif({full('sum(volume)', 14)}, 0)", "vwma": f"{full('sum(close * volume)', 14)} / nullif({full('sum(volume)', 14)}, 0)", "em": "em", "sma_em": roll("avg(em)", "em", 14), "force": "d * volume"}, digits=4)
+MFO = {"mfi": "CASE WHEN su IS NULL THEN NULL WHEN sw = 0 THEN 100 ELSE 100 - 100 / (1 + su / nullif(sw, 0)) END", "cmf": f"{full('sum(clv * volume)', 14)} / nullif({full('sum(volume)', 14)}, 0)", "adi": f"sum(clv * volume) {SO_FAR}", "obv": f"sum(CASE WHEN d > 0 THEN volume WHEN d < 0 THEN -volume ELSE 0 END) {SO_FAR}", "vpt": f"sum(coalesce(r * volume, 0)) {SO_FAR}", "vwap": f"{full('sum(t * volume)', 14)} / nullif({full('sum(volume)', 14)}, 0)", "vwma": f"{full('sum(close * volume)', 14)} / nullif({full('sum(volume)', 14)}, 0)", "em": "em", "sma_em": roll("avg(em)", "em", 14), "force": "d * volume"}
+TOTALS = ("adi", "obv", "vpt")
+add("money_flow", t.money_flow, [MF, MF2, MF3], {k: e for k, e in MFO.items() if k not in TOTALS}, digits=9, bars="event")
+add("money_flow_totals", t.money_flow, [MF, MF2, MF3], {k: MFO[k] for k in TOTALS}, digits=3, bars="event")
 add("volume_index", t.volume_index, [{"r": f"coalesce(close / nullif({lag('close')}, 0), 1)"}, {"n": f"CASE WHEN volume < {lag('volume')} THEN r ELSE 1 END", "p": f"CASE WHEN volume > {lag('volume')} THEN r ELSE 1 END", "w": f"CASE WHEN close > {lag('close')} THEN close - least(low, {lag('close')}) WHEN close < {lag('close')} THEN close - greatest(high, {lag('close')}) ELSE 0 END"}], {"nvi": f"1000 * product(n) {SO_FAR}", "pvi": f"1000 * product(p) {SO_FAR}", "wad": f"sum(w) {SO_FAR}"}, digits=3)
 wma = lambda x, n: f"CASE WHEN count({x}) {last(n)} = {n} THEN (" + " + ".join(f"{n - i} * {lag(x, i) if i else x}" for i in range(n)) + f") / {n * (n + 1) / 2} END"
 add("hull", t.hull, [{"w": wma("close", 16)}, {"x": f"2 * {wma('close', 8)} - w"}], {"wma": "w", "hma": wma("x", 4)}, digits=5)

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context, indicators, validation, volatility
+from . import context, indicators, models, validation, volatility
 
-_PARTS = (volatility, indicators, context, validation)
+_PARTS = (volatility, indicators, context, validation, models)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for p in _PARTS for k, f in p.Q.items()}
 SQL: dict[str, str] = {k: s for p in _PARTS for k, s in p.SQL.items()}
