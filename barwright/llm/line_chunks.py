@@ -50,13 +50,11 @@ def chunk_rows(docs: DataFrame, c: LineChunks) -> DataFrame:
     return rows.where(many >= c.least_lines).select("doc_id", "text_key", "chunk", F.array_join(F.slice("lines", first, many), "\n").alias("content"))
 
 
-def line_dedup(docs: DataFrame, c: LineChunks = LineChunks()) -> DataFrame:
-    """docs with ``kept_text`` and the counts n_lines, n_chunks, removed_chunks, removed_lines beside all its columns.
+ADDED = ("kept_text", "n_lines", "n_chunks", "removed_chunks", "removed_lines")
 
-    docs has doc_id and text; it must not have columns of the added names. A null text stays null and an empty text is
-    one empty line. Rows with the same doc_id and text are one document: they keep and lose the same chunks. A text that
-    loses all chunks becomes empty; the row stays.
-    """
+
+def _deduplicated(docs: DataFrame, c: LineChunks) -> DataFrame:
+    """The row as a struct ``__row`` and the added columns."""
     text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
     keyed = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     chunks = chunk_rows(keyed, c)
@@ -65,11 +63,11 @@ def line_dedup(docs: DataFrame, c: LineChunks = LineChunks()) -> DataFrame:
     again = written(chunks.withColumn("hash", F.xxhash64("content")).join(often, "hash").drop("hash"), "repeated")
     place = F.struct("doc_id", "text_key", "chunk")
     first = again.groupBy("content").agg(F.min(place).alias("first"), F.max(place).alias("last"))  # the bytes themselves are compared
-    gone = again.join(first.where("first != last"), "content").where(~place.eqNullSafe(F.col("first")))
+    gone = again.join(first.where("not first <=> last"), "content").where(~place.eqNullSafe(F.col("first")))
     gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set("chunk").alias("__gone"))
-    rows = docs.withColumn("__k", F.xxhash64(text)).join(gone, doc_id.eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key")), "left")
-    rows = rows.withColumn("__text", text).withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
-    split = _chunked(rows.select(F.struct(*docs.columns).alias("__row"), F.col("__text").alias("text"), "__gone"), c)
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), doc_id.alias("__doc"), text.alias("text"), F.xxhash64(text).alias("__k"))
+    rows = rows.join(gone, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key")), "left")
+    split = _chunked(rows.select("__row", "text", F.coalesce("__gone", F.array().cast("array<int>")).alias("__gone")), c)
     split = split.withColumn("kept", F.filter(F.sequence(F.lit(0), F.size("cuts")), lambda j: (j > 0) & ~F.array_contains("__gone", j)))
 
     def content(j: Column) -> Column:
@@ -81,15 +79,25 @@ def line_dedup(docs: DataFrame, c: LineChunks = LineChunks()) -> DataFrame:
 
     kept = F.when(F.size("__gone") == 0, F.col("text")).otherwise(F.array_join(F.transform("kept", content), "\n"))
     lost = F.aggregate("__gone", F.lit(0).cast("long"), lambda n, j: n + lines(j))
-    return split.select("__row.*", kept.alias("kept_text"), F.size("lines").cast("long").alias("n_lines"), F.size("cuts").cast("long").alias("n_chunks"), F.size("__gone").cast("long").alias("removed_chunks"), lost.alias("removed_lines"))
+    return split.select("__row", kept.alias("kept_text"), F.size("lines").cast("long").alias("n_lines"), F.size("cuts").cast("long").alias("n_chunks"), F.size("__gone").cast("long").alias("removed_chunks"), lost.alias("removed_lines"))
+
+
+def line_dedup(docs: DataFrame, c: LineChunks = LineChunks()) -> DataFrame:
+    """docs with ``kept_text`` and the counts n_lines, n_chunks, removed_chunks, removed_lines beside its columns.
+
+    docs has doc_id and text; its columns of the added names are replaced. A null text stays null and an empty text is
+    one empty line. Rows with the same doc_id and text are one document: they keep and lose the same chunks. Null
+    doc_ids come first. A text that loses all chunks becomes empty; the row stays. An empty table stays empty.
+    """
+    rows = _deduplicated(docs, c)
+    return rows.select(*[F.col("__row")[x].alias(x) for x in docs.columns if x not in ADDED], *ADDED)
 
 
 def without_repeats(docs: DataFrame, c: LineChunks = LineChunks()) -> DataFrame:
     """docs, its columns unchanged in number and order, with repeated chunks removed from text and n_chars set anew."""
-    out = line_dedup(docs, c).withColumn("text", F.col("kept_text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    kept = F.col("kept_text")
+    anew = {"text": kept} | ({"n_chars": F.length(kept).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return _deduplicated(docs, c).select(*[anew.get(x, F.col("__row")[x]).alias(x) for x in docs.columns])
 
 
 def sql(c: LineChunks = LineChunks()) -> str:
