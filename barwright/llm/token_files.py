@@ -11,19 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks
-from .tokens import WordEncoder
+from .tokens import encoder
 
 
 @dataclass(frozen=True)
 class TokenFiles:
     """tokenizer: its file. end_id: the id after each document. row_group, page: bytes in the Parquet files; small pages
-    and their index (which the writer always adds) let a reader fetch a few documents. rows: most rows of a page."""
+    and their index (which the writer always adds) let a reader fetch a few documents. rows: most rows of a page. remembered: words of which
+    a worker keeps the ids."""
 
     tokenizer: str
     end_id: int = 1
     row_group: int = 16 << 20
     page: int = 256 << 10
     rows: int = 2000
+    remembered: int = 600_000
 
 
 SHAPE = "part int, doc_id long, part_start long, n_tokens long, tokens array<int>"
@@ -41,10 +43,10 @@ def write_token_files(docs: DataFrame, path: str, c: TokenFiles) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, start = WordEncoder(c.tokenizer), TaskContext.get().partitionId(), 0
+        words, part, start = encoder(c.tokenizer, c.remembered), TaskContext.get().partitionId(), 0
         end = np.array([c.end_id], "<u4").tobytes()
         for b in chunks(batches, 128):
-            ids = [x + end for x in encoder.encode(b.column(1).to_pylist())]
+            ids = [x + end for x in words.encode(b.column(1).to_pylist())]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             ends = np.cumsum(n)
             tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
@@ -73,7 +75,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(SHAPE).parquet(path)
     sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(sums.select("part", before.alias("before")), "part").withColumn("start", F.col("before") + F.col("part_start")).drop("before")
+    offsets = F.broadcast(sums.select("part", before.alias("before")))  # a row per file, as many as the writing shuffle had partitions
+    return rows.join(offsets, "part").withColumn("start", F.col("before") + F.col("part_start")).drop("before")
 
 
 def with_crc32(rows: DataFrame) -> DataFrame:
