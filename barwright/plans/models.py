@@ -10,7 +10,7 @@ from ..operators import loss as lo
 from ..operators import recursive as rc
 from ..operators import regimes as rg
 from ..operators import volatility as vo
-from ..sources.bars import order_bars
+from ..sources.bars import order_bars, tick_panel
 from ..sources.samples import samples
 from .sqltext import ORDER_BARS, SERIES, bars_sql, lag, last
 from .validation import SAMPLES, tidy
@@ -123,3 +123,17 @@ def _frame(d):
 
 
 Q["feature_frame"] = lambda spark, sf: rounded(_frame(order_bars(spark, sf)), ["returns", "rolling_vol_20", "var_95", "bbp", "stoch", "mfi", "cmf", "roc", "uo"], 4)
+
+
+def _panel(spark, sf):
+    """Window features over the wide panel of suppliers' price series: one shuffle by symbol for all frames."""
+    d = vo.vol_dynamics(vo.rolling_volatility(vo.returns(tick_panel(spark, sf))))
+    return d.select("symbol", F.col("ts.l_shipdate").alias("ts"), F.col("ts.l_orderkey").alias("order_key"), F.col("ts.l_linenumber").cast("long").alias("line"), F.col("ts.l_partkey").alias("part_key"), *[F.round(x, 6).alias(x) for x in ("returns", "rolling_vol_20", "vol_deviation")])
+
+
+Q["tick_panel_features"] = _panel
+SQL["tick_panel_features"] = """WITH b0 AS (SELECT l_suppkey::VARCHAR AS symbol, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice AS close FROM lineitem),
+b1 AS (SELECT *, close / nullif(lag(close) OVER w, 0) - 1 AS returns, CASE WHEN close > 0 AND lag(close) OVER w > 0 THEN ln(close / lag(close) OVER w) ELSE 0 END AS r FROM b0 WINDOW w AS (PARTITION BY symbol ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey)),
+b2 AS (SELECT *, stddev_pop(r) OVER (PARTITION BY symbol ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS v FROM b1),
+b3 AS (SELECT *, CASE WHEN count(v) OVER w = 20 THEN avg(v) OVER w END AS m FROM b2 WINDOW w AS (PARTITION BY symbol ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+SELECT symbol, l_shipdate AS ts, l_orderkey AS order_key, l_linenumber::BIGINT AS line, l_partkey AS part_key, round(returns, 6) AS returns, round(v, 6) AS rolling_vol_20, round((v - m) / nullif(m, 0), 6) AS vol_deviation FROM b3"""
