@@ -37,10 +37,10 @@ class NearDedup:
 
     words: int = 5
     percent: int = 80
-    retained: int = 256
+    retained: int = 512
     estimated: int = 128
     counters: int = 1 << 20
-    z: float = 4.5
+    z: float = 4.2
     broadcast_ids: int = 200_000
 
     def overlap(self, k: np.ndarray | int) -> np.ndarray | int:
@@ -155,15 +155,20 @@ def postings(sketched: DataFrame, c: NearDedup, counts: np.ndarray) -> DataFrame
 
 
 def _may_link(c: NearDedup, a: str, b: str) -> F.Column:
-    """Whether sizes and places in the order leave room for a link, if the shared value is the first that they share."""
+    """Whether sizes and places in the order leave room for a link, if the shared value is the first that they share.
+
+    Sets of m and n shingles that link share p / (1 + p) * (m + n) of them at least. If both are their own sketches, so
+    many values must still follow. Else that share of the larger set's retained values is expected in both sketches;
+    both sketches' limits vary, so twice the binomial variance is allowed for.
+    """
     col = lambda side, x: F.col(f"{side}_{x}")
-    k = F.least(col(a, "k"), col(b, "k"))
-    p = c.percent / 100
-    exact = F.ceil(F.lit(c.percent) * (col(a, "n") + col(b, "n")) / F.lit(100 + c.percent) - F.lit(1e-9))
-    likely = F.floor(k * p - c.z * F.sqrt(k * p * (1 - p)))
-    need = F.when(F.greatest(col(a, "n"), col(b, "n")) <= c.retained, exact).otherwise(likely)
+    larger = F.greatest(col(a, "n"), col(b, "n"))
+    both = F.lit(c.percent) * (col(a, "n") + col(b, "n")) / F.lit(100 + c.percent)
+    q = F.least(F.lit(1.0), both / larger)
+    likely = F.floor(c.retained * q - c.z * F.sqrt(2 * c.retained * q * (1 - q)) - 1)
+    need = F.when(larger <= c.retained, F.ceil(both - F.lit(1e-9))).otherwise(likely)
     room = F.least(col(a, "k") - col(a, "pos"), col(b, "k") - col(b, "pos"))
-    sizes = F.least(col(a, "n"), col(b, "n")) * F.lit(100).cast("long") >= F.greatest(col(a, "n"), col(b, "n")) * F.lit(c.percent).cast("long")
+    sizes = F.least(col(a, "n"), col(b, "n")) * F.lit(100).cast("long") >= larger * F.lit(c.percent).cast("long")
     return sizes & (room >= need)
 
 
