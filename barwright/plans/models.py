@@ -9,6 +9,8 @@ from ..operators import indicators as ti
 from ..operators import loss as lo
 from ..operators import recursive as rc
 from ..operators import regimes as rg
+from ..operators import series as sr
+from ..operators import tuning as tn
 from ..operators import volatility as vo
 from ..sources.bars import order_bars, tick_panel
 from ..sources.samples import samples
@@ -137,3 +139,11 @@ b1 AS (SELECT *, close / nullif(lag(close) OVER w, 0) - 1 AS returns, CASE WHEN
 b2 AS (SELECT *, stddev_pop(r) OVER (PARTITION BY symbol ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS v FROM b1),
 b3 AS (SELECT *, CASE WHEN count(v) OVER w = 20 THEN avg(v) OVER w END AS m FROM b2 WINDOW w AS (PARTITION BY symbol ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
 SELECT symbol, l_shipdate AS ts, l_orderkey AS order_key, l_linenumber::BIGINT AS line, l_partkey AS part_key, round(returns, 6) AS returns, round(v, 6) AS rolling_vol_20, round((v - m) / nullif(m, 0), 6) AS vol_deviation FROM b3"""
+
+bar("spectrum", sr.spectrum, None, dict.fromkeys(["spectral_entropy", "dominant_freq", "dominant_power"]), 4)
+bar("wavelet_energy", sr.wavelet, None, dict.fromkeys([f"wavelet_energy_level_{i}" for i in range(1, 6)]))
+bar("change_points", sr.change_points, None, {"is_change": None})
+bar("hidden_states", sr.hidden_states, None, {"regime_hmm": None})
+add("sensitivity", lambda d: tn.sensitivity(d, 0.01), "SELECT symbol, round(p, 6) AS penalty, round(sqrt(avg(power(y - my - n1 * cxy / (n1 * vx + p) * (yhat - mx), 2))), 6) AS rmse FROM sp WHERE rn > cut GROUP BY symbol, p", 6, ", sq AS (SELECT *, floor(count(*) OVER (PARTITION BY symbol) * 0.8) AS cut, row_number() OVER (PARTITION BY symbol ORDER BY row_id) AS rn FROM s WHERE yhat IS NOT NULL AND y IS NOT NULL), sp AS (SELECT sq.*, p, f.* EXCLUDE (symbol) FROM sq JOIN (SELECT symbol, count(*) AS n1, avg(yhat) AS mx, avg(y) AS my, covar_pop(yhat, y) AS cxy, var_pop(yhat) AS vx FROM sq WHERE rn <= cut GROUP BY symbol) f USING (symbol), (SELECT unnest(list_transform(range(0, 10), lambda i: 0.01::DOUBLE * (1 - 0.2 + 0.4 * i / 9))) AS p))")
+as_trials = lambda d: d.groupBy(F.col("batch_id").alias("trial_id")).agg(F.round(F.avg("y"), 8).alias("value"), F.create_map(F.lit("vol"), F.round(F.avg("vol"), 8), F.lit("mom"), F.round(F.avg("mom"), 8)).alias("params")).withColumn("state", F.lit("COMPLETE"))
+add("trial_meta", lambda d: tn.meta_knowledge(as_trials(d)), "SELECT param, round(corr(a, b), 6) AS correlation, round(min(x) FILTER (k <= ceil(n * 0.1)), 6) AS best_min, round(max(x) FILTER (k <= ceil(n * 0.1)), 6) AS best_max, round(quantile_cont(x, 0.5) FILTER (k <= ceil(n * 0.1)), 6) AS best_median FROM (SELECT *, rank() OVER (PARTITION BY param ORDER BY x) + (count(*) OVER (PARTITION BY param, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY param ORDER BY value) + (count(*) OVER (PARTITION BY param, value) - 1) / 2.0 AS b, row_number() OVER (PARTITION BY param ORDER BY value DESC, trial_id) AS k, count(*) OVER (PARTITION BY param) AS n FROM tp) GROUP BY param", 6, ", tp AS (SELECT * FROM (SELECT batch_id AS trial_id, round(avg(y), 8) AS value, round(avg(vol), 8) AS vol, round(avg(mom), 8) AS mom FROM s GROUP BY batch_id) UNPIVOT (x FOR param IN (vol, mom)))")
