@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.windows import rounded
+from ..operators import fits as ft
 from ..operators import indicators as ti
 from ..operators import loss as lo
 from ..operators import recursive as rc
@@ -147,3 +148,9 @@ bar("hidden_states", sr.hidden_states, None, {"regime_hmm": None})
 add("sensitivity", lambda d: tn.sensitivity(d, 0.01), "SELECT symbol, round(p, 6) AS penalty, round(sqrt(avg(power(y - my - n1 * cxy / (n1 * vx + p) * (yhat - mx), 2))), 6) AS rmse FROM sp WHERE rn > cut GROUP BY symbol, p", 6, ", sq AS (SELECT *, floor(count(*) OVER (PARTITION BY symbol) * 0.8) AS cut, row_number() OVER (PARTITION BY symbol ORDER BY row_id) AS rn FROM s WHERE yhat IS NOT NULL AND y IS NOT NULL), sp AS (SELECT sq.*, p, f.* EXCLUDE (symbol) FROM sq JOIN (SELECT symbol, count(*) AS n1, avg(yhat) AS mx, avg(y) AS my, covar_pop(yhat, y) AS cxy, var_pop(yhat) AS vx FROM sq WHERE rn <= cut GROUP BY symbol) f USING (symbol), (SELECT unnest(list_transform(range(0, 10), lambda i: 0.01::DOUBLE * (1 - 0.2 + 0.4 * i / 9))) AS p))")
 as_trials = lambda d: d.groupBy(F.col("batch_id").alias("trial_id")).agg(F.round(F.avg("y"), 8).alias("value"), F.create_map(F.lit("vol"), F.round(F.avg("vol"), 8), F.lit("mom"), F.round(F.avg("mom"), 8)).alias("params")).withColumn("state", F.lit("COMPLETE"))
 add("trial_meta", lambda d: tn.meta_knowledge(as_trials(d)), "SELECT param, round(corr(a, b), 6) AS correlation, round(min(x) FILTER (k <= ceil(n * 0.1)), 6) AS best_min, round(max(x) FILTER (k <= ceil(n * 0.1)), 6) AS best_max, round(quantile_cont(x, 0.5) FILTER (k <= ceil(n * 0.1)), 6) AS best_median FROM (SELECT *, rank() OVER (PARTITION BY param ORDER BY x) + (count(*) OVER (PARTITION BY param, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY param ORDER BY value) + (count(*) OVER (PARTITION BY param, value) - 1) / 2.0 AS b, row_number() OVER (PARTITION BY param ORDER BY value DESC, trial_id) AS k, count(*) OVER (PARTITION BY param) AS n FROM tp) GROUP BY param", 6, ", tp AS (SELECT * FROM (SELECT batch_id AS trial_id, round(avg(y), 8) AS value, round(avg(vol), 8) AS vol, round(avg(mom), 8) AS mom FROM s GROUP BY batch_id) UNPIVOT (x FOR param IN (vol, mom)))")
+
+bar("garch_fit", ft.garch, None, dict.fromkeys(["garch_vol", "garch_alpha", "garch_beta", "garch_forecast"]))
+bar("rolling_pca", lambda d: ft.rolling_pca(d, ["open", "high", "low", "close", "volume"]), None, dict.fromkeys(["pca_component_1", "pca_component_2", "pca_exp_var_ratio_1", "pca_exp_var_ratio_2"]), 4)
+bar("box_cox", lambda d: ft.box_cox(d, "close"), None, {"box_cox_lambda": None, "box_cox_close": None}, 4)
+Q["kpss_statistic"] = lambda spark, sf: tidy(ft.kpss(order_bars(spark, sf)), 6)
+SQL["kpss_statistic"] = f"WITH {ORDER_BARS}, e AS (SELECT *, close - avg(close) OVER (PARTITION BY symbol) AS e FROM b0), q AS (SELECT *, sum(e) OVER (PARTITION BY symbol ORDER BY ts) AS s, " + ", ".join(f"lag(e, {k}) {SERIES} AS l{k}" for k in range(1, 11)) + " FROM e) SELECT symbol, round((sum(s * s) / (count(*) * count(*))) / (sum(e * e) / count(*) + " + " + ".join(f"2 * (1 - {k} / 11.0) * sum(e * l{k}) / count(*)" for k in range(1, 11)) + "), 6) AS kpss_stat FROM q GROUP BY symbol"

@@ -55,3 +55,16 @@ def test_median_pruning(spark):
     rows = [(t, s, float(t)) for t in range(8) for s in range(3)] + [(8, s, 0.5) for s in range(3)]
     out = tuning.median_pruned(spark.createDataFrame(rows, "trial_id long, step int, score double")).toPandas()
     assert list(out[out.prune].trial_id.unique()) == [8]
+
+
+def test_fits(spark, steps, tmp_path):
+    from barwright.operators import fits
+
+    out = fits.garch(steps).toPandas()
+    assert out.garch_vol.gt(0).all() and out.garch_alpha.iloc[0] + out.garch_beta.iloc[0] < 1
+    pca = fits.rolling_pca(steps, ["open", "high", "low", "close", "volume"]).orderBy("ts").toPandas()
+    assert pca.pca_component_1[:100].isna().all() and pca.pca_exp_var_ratio_1[100:].between(0, 1.0001).all()
+    box = fits.box_cox(steps, "close").toPandas()
+    assert box.box_cox_lambda.between(-2, 2).all() and box.box_cox_close.notna().all()
+    text = fits.report("Report", {"kpss": fits.kpss(steps)}, str(tmp_path / "r.txt"))
+    assert "kpss_stat" in text and (tmp_path / "r.txt").read_text() == text
