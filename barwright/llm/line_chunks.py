@@ -17,10 +17,14 @@ from .common import written
 
 @dataclass(frozen=True)
 class LineChunks:
-    """every: a boundary comes after one line in so many, on average. least_lines: shorter chunks are never removed."""
+    """every: a boundary comes after one line in so many, on average. least_lines: shorter chunks are never removed.
+    broadcast_hashes, broadcast_docs: tables of up to so many hashes or documents are sent to all executors instead of
+    shuffling texts; larger ones are joined by a shuffle."""
 
     every: int = 3
     least_lines: int = 2
+    broadcast_hashes: int = 1_000_000
+    broadcast_docs: int = 250_000
 
 
 def _line_hash(line: Column) -> Column:
@@ -50,6 +54,11 @@ def chunk_rows(docs: DataFrame, c: LineChunks) -> DataFrame:
     return rows.where(many >= c.least_lines).select("doc_id", "text_key", "chunk", F.array_join(F.slice("lines", first, many), "\n").alias("content"))
 
 
+def _sent_if_few(df: DataFrame, most: int) -> DataFrame:
+    """A written table, marked for broadcast if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 ADDED = ("kept_text", "n_lines", "n_chunks", "removed_chunks", "removed_lines")
 
 
@@ -60,13 +69,13 @@ def _deduplicated(docs: DataFrame, c: LineChunks) -> DataFrame:
     chunks = chunk_rows(keyed, c)
     often = chunks.select("doc_id", "text_key", "chunk", F.xxhash64("content").alias("hash")).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
     often = written(often.select("hash"), "hashes")
-    again = written(chunks.withColumn("hash", F.xxhash64("content")).join(often, "hash").drop("hash"), "repeated")
+    again = written(chunks.withColumn("hash", F.xxhash64("content")).join(_sent_if_few(often, c.broadcast_hashes), "hash").drop("hash"), "repeated")
     place = F.struct("doc_id", "text_key", "chunk")
     first = again.groupBy("content").agg(F.min(place).alias("first"), F.max(place).alias("last"))  # the bytes themselves are compared
     gone = again.join(first.where("not first <=> last"), "content").where(~place.eqNullSafe(F.col("first")))
-    gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set("chunk").alias("__gone"))
+    gone = written(gone.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set("chunk").alias("__gone")), "gone")
     rows = docs.select(F.struct(*docs.columns).alias("__row"), doc_id.alias("__doc"), text.alias("text"), F.xxhash64(text).alias("__k"))
-    rows = rows.join(gone, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key")), "left")
+    rows = rows.join(_sent_if_few(gone, c.broadcast_docs), F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key")), "left")
     split = _chunked(rows.select("__row", "text", F.coalesce("__gone", F.array().cast("array<int>")).alias("__gone")), c)
     split = split.withColumn("kept", F.filter(F.sequence(F.lit(0), F.size("cuts")), lambda j: (j > 0) & ~F.array_contains("__gone", j)))
 
