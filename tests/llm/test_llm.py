@@ -197,6 +197,26 @@ def test_toxicity_on_held_out_documents(spark, sf):
     assert got.score.between(0, 1).all()
 
 
+def test_rare_toxic_words_count_in_large_tables(spark):
+    rng = random.Random(5)
+    fill = lambda: [f"f{rng.randrange(900)}" for _ in range(25)]
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5]
+    rows, labels, slurs = [], [], 0
+    for i in ids:
+        words, toxic = fill(), i % 2
+        if toxic and slurs < 2:
+            words[9], slurs = "rareslur", slurs + 1
+        elif toxic:
+            words[3] = "commonslur"
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert all(0 < d < 1 for d in model.discount)
+    scorer, words = toxicity._Scorer(model, toxicity.Toxicity()), fill()
+    at = lambda word: scorer(" ".join([*words[:9], word, *words[10:]]))
+    assert at("rareslur") > at("neverseen") + 0.1 and at("commonslur") > 0.9
+
+
 def test_url_rules_and_model(spark, sf):
     pages = pd.read_parquet(f"{sf}/pages.parquet")[["page_id", "url"]]
     extra = ["http://COM.Example.com/en/x", "https://www.example.com/en/1", "nothing", None, "http://a.net/es/?q", "https://m.casino-win.example.org/en/77", "https://blog.ththre.example.org/en/3", "http://x.com?y=/", "ftp://example.com/en/"]
