@@ -237,14 +237,14 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, c: NearDedup = NearDedup()) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept.
+def _key() -> F.Column:
+    """The order in which a document of a component is chosen to stay."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
 
-    docs has doc_id and text; other columns are ignored. Null or wordless texts have no shingles, link with nothing and
-    are kept. Rows with the same doc_id and text are one document repeated and get the same row each. A null doc_id is
-    never a component_id unless no document of the component has one; then component_id is null and the row is kept.
-    An empty table gives an empty result.
-    """
+
+def _judged(docs: DataFrame, c: NearDedup) -> DataFrame:
+    """One row per document: doc_id, text_key, n, component_id and keep, the (none, doc_id, text_key) of the document of
+    its component that stays: the least doc_id, nulls last, then the least text_key. Both are null without shingles."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = written(sketches(docs, c), "sketches")
     lists = written(postings(sketched, c, counted(sketched, c)), "postings")
@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, c: NearDedup = NearDedup()) -> DataFrame:
     lists = lists.select("value", *(F.col(x).alias(f"m_{x}") for x in ("sig", "n", "k", "pos")))
     grouped = written(lists.join(hubs.where("lo != hi").drop("lo", "hi"), "value"), "overlaps")
     small = sketched.where("small is not null").select("sig", "small").dropDuplicates(["sig"])
-    classes = written(sketched.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_key")).alias("rep")).select("sig", "least", "rep.doc_id", "rep.text_key"), "classes")
+    classes = written(sketched.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min(_key()).alias("keep")).select("sig", "least", "keep", "rep.doc_id", "rep.text_key"), "classes")
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -271,15 +271,38 @@ def near_duplicates(docs: DataFrame, c: NearDedup = NearDedup()) -> DataFrame:
     more = linked(other.select(F.col("u_sig").alias("x"), F.col("w_sig").alias("y")))
     groups = components(spokes.union(more))
 
-    named = classes.select("sig", "least").join(groups.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = written(named.join(least, "component").select("sig", "component_id"), "components")
-    out = sketched.select("doc_id", "n", "sig").join(by_class, "sig", "left")
+    named = classes.select("sig", "least", "keep").join(groups.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.min("keep").alias("keep"))
+    by_class = written(named.select("sig", "component").join(least, "component").select("sig", "component_id", "keep"), "components")
+    return sketched.select("doc_id", "text_key", "n", "sig").join(by_class, "sig", "left").drop("sig")
+
+
+def near_duplicates(docs: DataFrame, c: NearDedup = NearDedup()) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept.
+
+    docs has doc_id and text; other columns are ignored. Null or wordless texts have no shingles, link with nothing and
+    are kept. Rows with the same doc_id and text are one document repeated and get the same row each. A null doc_id is
+    never a component_id unless no document of the component has one; then component_id is null and the row is kept.
+    An empty table gives an empty result.
+    """
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return _judged(docs, c).select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, c: NearDedup = NearDedup()) -> DataFrame:
-    """The documents that near_duplicates keeps, with all their columns; of rows that repeat a doc_id, all or none."""
-    gone = near_duplicates(docs, c).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    """The documents that stay, with all their columns: one row of each component, and each row without shingles.
+
+    A component keeps its least doc_id, nulls last, and of several texts under it the one with the least hash; of rows
+    that repeat both, the first in the order of their JSON form. Rows with a null or repeated doc_id go and stay by
+    their own text.
+    """
+    judged = written(_judged(docs, c).where("n > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), (~_key().eqNullSafe(F.col("keep"))).alias("__gone")), "judged")
+    here, key = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    on = here.eqNullSafe(F.col("__id")) & (key == F.col("__key"))
+    left = docs.join(judged.where("__gone").select("__id", "__key").distinct(), on, "left_anti")
+    again = written(judged.where("not __gone").groupBy("__id", "__key").agg(F.count("*").alias("n")).where("n > 1").select("__id", "__key"), "again")
+    if not again.limit(1).count():
+        return left
+    row = F.struct(*docs.columns)
+    one = left.join(again, on).groupBy("__id", "__key").agg(F.min_by(row, F.to_json(row)).alias("__row"))
+    return left.join(again, on, "left_anti").unionByName(one.select("__row.*"))

@@ -79,6 +79,24 @@ def test_near_duplicates_match_all_pairs(spark, docs, k, percent):
     assert (got.kept == (got.doc_id == got.component_id)).all()
 
 
+def test_one_document_of_each_group_stays(spark):
+    base = {x: " ".join(f"{x}{i}" for i in range(200)) for x in "abcdefg"}
+    near = lambda x: base[x].replace(f"{x}199", "other")
+    rows = [
+        (1, base["a"]), (None, near("a")), (None, base["b"]),  # a copy without an id goes, a unique text without one stays
+        (2, near("a")), (2, base["c"]),  # of a repeated id, only the copy goes
+        (None, base["d"]), (None, near("d")), (None, base["d"]),  # one of a group without ids stays
+        (3, base["e"]), (3, base["e"]), (4, near("e")),  # one of equal rows stays
+        (6, base["f"]), (6, near("f")), (None, None), (None, ""), (7, ""), (7, ""),
+    ]
+    got = near_dedup.deduplicated(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string"))
+    assert got.columns == ["doc_id", "text", "source"]
+    left = [(r.doc_id, r.text) for r in got.collect()]
+    group = lambda x: [d for d, t in left if t in (base[x], near(x))]
+    assert [group(x) for x in "abcdefg"] == [[1], [None], [2], [None], [3], [6], []]
+    assert sorted(map(repr, [x for x in left if not x[1]])) == ["(7, '')", "(7, '')", "(None, '')", "(None, None)"]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = near_dedup.components(edges).toPandas().set_index("node").component
