@@ -32,17 +32,19 @@ def _byte_letters() -> dict[int, str]:
 class WordEncoder(dict):
     """Encodes texts by the tokenizers library and remembers the ids of words, up to ``limit`` of them.
 
-    The ids equal those of ``Tokenizer.encode(text, add_special_tokens=False)`` where strings of special tokens in a
-    text are ordinary text. A new word of plain letters goes to the library's model at once; any other new piece, and
-    a text with unusual white space, goes through the whole library.
+    The ids equal those of ``Tokenizer.encode(text, add_special_tokens=False)``. With ``special``, strings of special
+    tokens in a text become those tokens, as the library does by default; without, they are ordinary text. A new word of
+    plain letters goes to the library's model at once; any other new piece, and a text with unusual white space or with
+    the string of an added token, goes through the whole library.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 600_000, special: bool = False):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content] if special else []
         self.model, self.spelled, self.lowers = self.tokenizer.model, _byte_letters(), self.tokenizer.normalizer is not None
         self.limit = limit
         self.line = self._whole("\n")
@@ -70,10 +72,12 @@ class WordEncoder(dict):
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; null is the empty text."""
         get = self.__getitem__
-        return [self._whole(t) if t and _OTHER_BLANK.search(t) else b"".join(map(get, _PIECE.findall(t or ""))) for t in texts]
+        apart = lambda t: _OTHER_BLANK.search(t) or any(x in t for x in self.added)
+        return [self._whole(t) if t and apart(t) else b"".join(map(get, _PIECE.findall(t or ""))) for t in texts]
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str, limit: int) -> WordEncoder:
-    """The process's encoder: tasks that run in one Python worker after another share what it remembers."""
-    return WordEncoder(path, limit)
+    """The process's encoder, with special tokens as the library finds them: tasks that run in one Python worker after
+    another share what it remembers."""
+    return WordEncoder(path, limit, special=True)

@@ -136,6 +136,26 @@ def test_encoder_equals_library(docs):
         assert WordEncoder(queries.vocabulary(name), 500).encode(texts) == want
 
 
+def test_queries_encode_added_tokens_as_the_library(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a b.<|endoftext|> c", "<|endoftext|>", "x<|startoftext|>y  <|endoftext|>\n", "<|END<|endoftext|>OFTEXT|>", "<|ENDOFTEXT|> z", "plain words. here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def want(name, end):
+        plain = Tokenizer.from_file(queries.vocabulary(name))
+        return [np.array([*plain.encode(t, add_special_tokens=False).ids, end], "<u4").tobytes() for t in texts]
+
+    pieces = packing.pack(docs, packing.Packing(queries.vocabulary("byte_bpe_50k.json"))).toPandas().sort_values(["doc_id", "start"])
+    assert [b"".join(map(bytes, x)) for _, x in pieces.groupby("doc_id")["ids"]] == want("byte_bpe_50k.json", 0)
+    path, start = new_path(spark, "tokens"), 0
+    token_files.write_token_files(docs, path, token_files.TokenFiles(queries.vocabulary("word_bpe_49k.json")))
+    got = token_files.with_crc32(token_files.read_token_files(spark, path)).toPandas().sort_values("doc_id")
+    for r, ids in zip(got.itertuples(), want("word_bpe_49k.json", 1), strict=True):
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids) // 4, zlib.crc32(ids))
+        start += r.n_tokens
+
+
 def test_differencing_is_near_equal():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 257, 300).tolist()
