@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on odd tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -79,6 +80,22 @@ def test_near_duplicates_match_all_pairs(spark, docs, k, percent):
     assert (got.kept == (got.doc_id == got.component_id)).all()
 
 
+def test_links_of_sets_around_the_sketch_size(spark):
+    """Sets of 480 to 620 shingles, on both sides of a whole sketch, at and just above the limit; their own values are rare
+    and the common ones frequent, so that a prefix that is too short would hold unshared values only."""
+    rng, rows, want = random.Random(4), [], {}
+    for i in range(160):
+        n = rng.randrange(480, 526)
+        inner = [f"c{i}x{j}" for j in range(n + 2)]
+        most = int(n / 0.85) + 1
+        extra = next(e for e in range(most - n, -1, -1) if 100 * n >= 85 * (n + e)) if i % 2 else rng.randrange(60)
+        rows += [(2 * i, " ".join(inner)), (2 * i + 1, " ".join(inner + [f"d{i}x{j}" for j in range(extra)]))]
+        sets = [shingles(t, 3) for _, t in rows[-2:]]
+        want[2 * i + 1] = 2 * i if 100 * len(sets[0] & sets[1]) >= 85 * len(sets[0] | sets[1]) else 2 * i + 1
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), near_dedup.NearDedup(words=3, percent=85)).toPandas()
+    assert {r.doc_id: r.component_id for r in got.itertuples() if r.doc_id % 2} == want and sum(v % 2 == 0 for v in want.values()) > 150
+
+
 def test_one_document_of_each_group_stays(spark):
     base = {x: " ".join(f"{x}{i}" for i in range(200)) for x in "abcdefg"}
     near = lambda x: base[x].replace(f"{x}199", "other")
@@ -114,6 +131,49 @@ def test_mixing_meets_targets(spark, sf, docs):
     assert (again.taken.values == got.sort_values("doc_id").taken.values).all()
 
 
+def brute_targets(docs, weights=(5, 2, 1)):
+    sizes = docs.text.fillna("").map(lambda t: len(t.encode().split())).groupby(docs.source.fillna("~none")).sum().sort_index()
+    w = {x: weights[i % 3] for i, x in enumerate(sizes.index)}
+    goal, rest = {}, 1.5 * sizes.sum()
+    while True:
+        open_ = [x for x in sizes.index if x not in goal]
+        over = [x for x in open_ if rest * w[x] / sum(w[y] for y in open_) > 2 * sizes[x]]
+        if not over:
+            return goal | {x: rest * w[x] / sum(w[y] for y in open_) for x in open_}
+        share = {x: 2 * sizes[x] for x in over}
+        goal |= share
+        rest -= sum(share.values())
+
+
+def test_mixing_targets_by_brute_force(spark, sf, docs):
+    got = queries.op2_mixing(spark, sf).toPandas().merge(docs[["doc_id", "source"]])
+    want = brute_targets(docs)
+    assert all(r.target == pytest.approx(want[r.source]) for r in got.itertuples())
+
+
+def test_mixing_takes_what_the_tree_deals(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 60)), f"s{rng.choice([0, 0, 0, 1, 2])}") for i in range(3000)]
+    rows += [(5000, "a b c d e f g h i j", "s9")] * 7 + [(None, "a b c", None)] * 40  # repeats, a null id and source
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    c = mixing.Mixing(block=500, shard=4000)
+    plan = mixing.mix_plan(docs, c).toPandas()
+    by = plan.groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"))
+    assert (abs(by.taken - by.target) < 40).all() and (plan.taken <= 2 * plan["size"]).all()
+    drawn = [(r.source if isinstance(r.source, str) else "", d["epoch"], d["block"], d["shard"], d["words"]) for r in plan.itertuples() for d in r.draws]
+    blocks = {x[:4] for x in drawn}
+    assert len({x[:3] for x in blocks}) == len(blocks)  # a block goes to one shard
+    strata = sorted({x[:2] for x in blocks})
+    counts = np.array([sum(x[:2] == y for x in blocks) for y in strata])
+    shards = max(x[3] for x in blocks) + 1
+    got = np.array([[sum(x[:2] == y and x[3] == s for x in blocks) for y in strata] for s in range(shards)])
+    assert (got.sum(0) == counts).all() and np.ptp(got.sum(1)) <= 2 * math.ceil(math.log2(shards))  # the tree's quotas
+    mix = mixing.mixed(docs, c).toPandas()
+    words = mix.text.str.split().str.len().groupby(mix.source.fillna("")).sum()
+    assert words.to_dict() == plan.taken.groupby(plan.source.fillna("")).sum().to_dict()
+    assert words["s9"] == by.target["s9"] == 140  # seven rows of ten words, each twice
+
+
 def test_mixing_targets_are_capped():
     got = mixing.targets([10, 100, 100], [5, 2, 1], 315, 2)
     assert got[0] == 20 and got[1] == pytest.approx(295 * 2 / 3) and sum(got) == pytest.approx(315)
@@ -179,29 +239,51 @@ def test_packing_holds_each_id_once(spark, sf, docs):
     assert got.length.sum() / (1024 * got.sequence_id.nunique()) > 0.97
 
 
-def sketch(data, k=16, s=8):
+def sketch(text, k=5, s=2):
+    import regex
     import xxhash
 
+    def over(values):  # xxhash64 of several columns takes each hash as the next one's seed
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest(v.to_bytes(8, "little"), h)
+        return h
+
     signed = lambda x: x - 2**64 if x >= 2**63 else x
-    if len(data) < k:
-        found = {xxhash.xxh64_intdigest(data, 42) >> 24} if data else set()
-    else:
-        h = [signed(xxhash.xxh64_intdigest(data[i : i + s], 42)) for i in range(len(data) - s + 1)]
-        w = k - s + 1
-        found = {xxhash.xxh64_intdigest(data[i : i + k], 42) >> 24 for i in range(len(data) - k + 1) if min(h[i : i + w]) in (h[i], h[i + w - 1])}
-    return "".join(f"{x:010x}" for x in sorted(found)[:64])
-
-
-def test_syncmers_match_definition(spark, sf, docs):
-    got = queries.op4_syncmers(spark, sf).toPandas().sort_values("doc_id", ignore_index=True)
-    texts = docs.text.tolist()
-    for i in [*range(0, 20), len(texts) - 1]:
-        t, after = texts[i], texts[(i + 1) % len(texts)]
+    t = [xxhash.xxh64_intdigest(x.encode(), 42) for x in regex.findall(r"[^\x00-\x20\p{Lo}]{1,16}|\p{Lo}", text)]
+    inner = [signed(over(t[i : i + s])) for i in range(len(t) - s + 1)]
+    w = k - s + 1
+    found = {over(t[i : i + k]) >> 24 for i in range(len(t) - k + 1) if min(inner[i : i + w]) in (inner[i], inner[i + w - 1])}
+    if not found and text:
+        found = {xxhash.xxh64_intdigest(text.encode(), 42) >> 24}
+    return sorted(found)[:64]
+
+
+def alike(a, b):
+    union = sorted({*a, *b})[:64]
+    return len(set(a) & set(b) & set(union)) / len(union) if union else 1.0
+
+
+def test_syncmers_match_definition(spark, docs):
+    texts = [*docs.text[:60], "", "one two", "a b c d e f", "日本語のテキストには空白がない。" * 4, "x" * 900, "tab\tand\nline " * 9, "été à la plage " * 12, "end of it"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = syncmers.fingerprints_and_edits(frame).toPandas().sort_values("doc_id", ignore_index=True)
+    show = lambda x: "".join(f"{v:010x}" for v in x)
+    for i, t in enumerate(texts):
+        after = texts[(i + 1) % len(texts)]
         q = len(t) // 4
         edited = t[: len(t) - q] + after[:q]
         assert got.n_chars[i] == len(t) and got.edited_sha256[i] == hashlib.sha256(edited.encode()).hexdigest()
-        assert got.fingerprint[i] == sketch(t.encode()) and got.edited_fingerprint[i] == sketch(edited.encode())
-    assert got.near_edited.mean() > 0.5 and got.near_next.mean() < 0.05
+        assert got.fingerprint[i] == show(sketch(t)) and got.edited_fingerprint[i] == show(sketch(edited)), t[:40]
+        assert got.near_edited[i] == pytest.approx(alike(sketch(t), sketch(edited))) and got.near_next[i] == pytest.approx(alike(sketch(t), sketch(after)))
+    assert got.near_edited[:60].mean() > 0.5 and got.near_next[:60].mean() < 0.1
+
+
+def test_syncmer_anchors_of_a_head_stay(spark):
+    words = [f"w{i}" for i in range(80)]
+    rows = spark.createDataFrame([(1, " ".join(words), "x"), (2, " ".join(words[:60] + ["other"] * 20), "x"), (3, None, "x")], "doc_id long, text string, anchors string")
+    a, b, none = (r.anchors for r in syncmers.anchors(rows).orderBy("doc_id").collect())
+    assert [x for x in a if x.place <= 55] == [x for x in b if x.place <= 55] and len([x for x in a if x.place <= 55]) > 15 and none == []
 
 
 def test_token_files_read_back(spark, sf, docs):
