@@ -4,16 +4,18 @@ Each document is the set of its distinct word shingles. One hash function orders
 ``retained`` smallest hashes. From there:
 
 1. Documents with the same set form a class; only classes are compared.
-2. Inverted lists of retained values generate overlaps. A class enters the lists of its rarest retained values only: by
-   pigeonhole, two sets whose sketches overlap in ``o`` values or more share one of their ``k - o + 1`` first values in
-   any common order. A fixed number of counters over all documents gives that order, so frequent passages come last.
+2. Inverted lists of retained values generate overlaps. Values are ordered by how many sketches hold them, rarest
+   first; a value that one class alone holds generates nothing and is only counted. By pigeonhole, two sets whose
+   sketches overlap in ``o`` values or more share one of their ``k - o + 1`` first values in that order, so a class
+   enters the lists of those only. Lists with the same members count once.
 3. In each list the class with the most frequent values is the hub. Pairs (hub, member) link most of a group with as
    many pairs as members. Then pairs of members that the hubs left in different components follow.
 4. The estimate from the smallest values of the union of two sketches filters pairs; the Jaccard similarity of the full
    sets decides.
 
-A set of up to ``retained`` shingles is its own sketch, and ``o`` is exact. For larger sets ``o`` lies ``z`` standard
-deviations under the expected overlap at the limit (a miss in some 300,000 at the limit itself, fewer above it).
+A set of up to ``retained`` shingles is its own sketch, and among such sets ``o`` is exact. Where the set or its partner
+is larger, ``o`` lies ``z`` standard deviations under the expected overlap at the limit (a miss in some 300,000 at the
+limit itself, fewer above it).
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WordHashes, chunks, lower_words, shingle_hashes, written
@@ -32,24 +35,21 @@ from .common import WordHashes, chunks, lower_words, shingle_hashes, written
 @dataclass(frozen=True)
 class NearDedup:
     """words: length of a shingle. percent: a link needs this Jaccard similarity in hundredths. retained: values of a
-    sketch. estimated: values of the union that estimate. counters: cells that count retained values, a fixed size.
-    broadcast_ids: up to so many documents to verify are sent to all executors; beyond, they are joined by a shuffle."""
+    sketch. estimated: values of the union that estimate. counters, often: cells, fixed in number, that single out values
+    in very many sketches (64 times an average cell, and ``often``), which are not dealt by value. broadcast_ids: up to
+    so many documents to verify are sent to all executors; beyond, they are joined by a shuffle."""
 
     words: int = 5
     percent: int = 80
     retained: int = 512
     estimated: int = 128
     counters: int = 1 << 20
+    often: int = 1000
     z: float = 4.2
     broadcast_ids: int = 200_000
 
-    def overlap(self, k: np.ndarray | int) -> np.ndarray | int:
-        """Values that sketches of ``k`` values share at least, if the sets are larger than that."""
-        p = self.percent / 100
-        return np.floor(k * p - self.z * np.sqrt(k * p * (1 - p))).astype(np.int64)
 
-
-SKETCH = "doc_id long, text_key long, n int, sig long, retained array<long>, small binary"
+SKETCH = "doc_id long, text_key long, n int, sig long, retained array<long>"
 
 
 def _sets(c: NearDedup):
@@ -68,12 +68,12 @@ def _digest(values: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, c: NearDedup) -> DataFrame:
-    """(doc_id, text_key, n, sig, retained, small) per document; a set that a task has seen already leaves its sketch null."""
+    """(doc_id, text_key, n, sig, retained) per document; a set that a task has seen already leaves its sketch null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, seen = _sets(c), set()
         for b in chunks(batches):
-            n, sig, kept, small = [], [], [], []
+            n, sig, kept = [], [], []
             for text in b.column(1).to_pylist():
                 s = of(text)
                 d = _digest(s)
@@ -81,16 +81,14 @@ def sketches(docs: DataFrame, c: NearDedup) -> DataFrame:
                 sig.append(d)
                 if len(s) == 0 or d in seen:
                     kept.append(None)
-                    small.append(None)
                     continue
                 if len(seen) >= 1 << 18:
                     seen.clear()
                 seen.add(d)
                 kept.append(s[: c.retained])
-                small.append((s[: c.estimated] >> 31).astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(n, pa.int32()), pa.array(sig, pa.int64()), pa.array(kept, pa.list_(pa.int64())), pa.array(small, pa.binary())],
-                ["doc_id", "text_key", "n", "sig", "retained", "small"],
+                [b.column(0), b.column(2), pa.array(n, pa.int32()), pa.array(sig, pa.int64()), pa.array(kept, pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "n", "sig", "retained"],
             )
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, SKETCH)
@@ -100,7 +98,8 @@ CELLS = 4096
 
 
 def counted(sketched: DataFrame, c: NearDedup) -> np.ndarray:
-    """Counts of retained values by their lowest bits. The result has a fixed size, whatever the input."""
+    """Counts of retained values by their lowest bits. The result has a fixed size, whatever the input; it tells only
+    which values are very frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -128,30 +127,61 @@ def counted(sketched: DataFrame, c: NearDedup) -> np.ndarray:
     return out.reshape(-1)
 
 
-POSTING = "value long, sig long, n int, k int, pos int, weight float"
+def _least_overlap(c: NearDedup) -> F.Column:
+    """Values that the sketch of a set of ``n`` shingles shares at least with that of any set it links with.
 
+    Up to ``retained`` shingles the set shows whole, and its percentage must be shared. A partner of up to 100 / percent
+    times its size shows only ``retained`` values; then as many times percent are expected, with the variance of draws
+    without replacement. A larger set shows ``retained`` of its own, of which percent are expected.
+    """
+    n, p = F.col("n"), c.percent / 100
+    expected, variance = c.retained * p, c.retained * p * (1 - p)
+    own = F.ceil(n * F.lit(c.percent) / 100 - F.lit(1e-9))
+    part = F.greatest(F.lit(0.0), 1 - F.lit(expected) / n)
+    beside = F.when(n > expected, F.floor(expected - c.z * F.sqrt(variance * part) - 1)).otherwise(own)
+    return F.when(n <= c.retained, F.least(own, beside)).otherwise(F.floor(F.lit(expected - c.z * variance**0.5))).cast("int")
 
-def postings(sketched: DataFrame, c: NearDedup, counts: np.ndarray) -> DataFrame:
-    """The rarest retained values of each class, with their place in the common order."""
-    shared = sketched.sparkSession.sparkContext.broadcast(counts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        for b in chunks(batches):
-            cols: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for sig, n, kept in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                v = kept.values.to_numpy(zero_copy_only=False)
-                k = len(v)
-                o = -(-c.percent * n // 100) if n <= c.retained else int(c.overlap(k))
-                often = counts[v & (c.counters - 1)]
-                first = np.lexsort((v, often))[: k - o + 1]
-                m = len(first)
-                for x, y in zip(cols, (v[first], np.full(m, sig), np.full(m, n, np.int32), np.full(m, k, np.int32), np.arange(m, dtype=np.int32), np.full(m, np.log(np.maximum(often, 1)).mean(), np.float32)), strict=True):
-                    x.append(y)
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], ["value", "sig", "n", "k", "pos", "weight"])
-
-    return sketched.select("sig", "n", "retained").where("retained is not null").mapInArrow(run, POSTING)
+#: Stands for the number of sketches that hold a value which the counters found to be very frequent.
+HEAVY = 1 << 40
+
+
+def postings(sketched: DataFrame, c: NearDedup) -> DataFrame:
+    """value, df, sig, n, k, pos, weight: the first shared values of each class with their place in the common order.
+
+    The order is by how many sketches hold a value, then by value. Values are dealt by themselves to be counted; the few
+    that very many sketches hold (found by the counters, fixed in number) are known to be shared, skip that and come
+    last. What one class holds alone isn't listed but takes its place at the front.
+    """
+    counts = counted(sketched, c)
+    cells = np.flatnonzero(counts >= max(c.often, 64 * float(counts.mean()))).tolist()  # counters / 64 at most
+    values = sketched.where("retained is not null").select("sig", F.explode("retained").alias("value"))
+    heavy = F.col("value").bitwiseAND(F.lit(c.counters - 1).cast("long")).isin(cells) if cells else F.lit(False)
+    same = W.partitionBy("value")
+    rare = values.where(~heavy).select("sig", "value", *(f("sig").over(same).alias(x) for f, x in ((F.count, "df"), (F.min, "lo"), (F.max, "hi"))))
+    shared = rare.where("lo != hi").select("sig", "value", "df")
+    # A row without a value brings the size of each set along. One plain exchange: most rows of a set come from apart.
+    sizes = sketched.where("retained is not null").select("sig", F.lit(None).cast("long"), F.col("n").cast("long"))
+    shared = shared.union(values.where(heavy).select("sig", "value", F.lit(HEAVY))).union(sizes).repartition("sig")
+    found = F.collect_set(F.when(F.col("value").isNotNull(), F.struct("df", "value"))).alias("values")
+    sets = shared.groupBy("sig").agg(F.max(F.when(F.col("value").isNull(), F.col("df"))).cast("int").alias("n"), F.sort_array(found).alias("values"))
+    sets = sets.withColumn("k", F.least("n", F.lit(c.retained))).withColumn("alone", F.col("k") - F.size("values"))
+    weight = F.aggregate("values", F.lit(0.0), lambda x, v: x + F.ln(v["df"])) / F.col("k")
+    first = F.slice("values", 1, F.greatest(F.lit(0), F.col("k") - _least_overlap(c) + 1 - F.col("alone")))
+    rows = sets.select("sig", "n", "k", "alone", weight.cast("float").alias("weight"), F.posexplode(first).alias("i", "v"))
+    return rows.select("v.value", "v.df", "sig", "n", "k", (F.col("alone") + F.col("i")).alias("pos"), "weight")
+
+
+def hubs_of(lists: DataFrame) -> DataFrame:
+    """value and its hub's h_sig, h_n, h_k, h_pos for each list of several members; of lists with the same members only
+    the one whose value comes first, which is where the members meet first."""
+    order = F.col("weight").cast("double") * 1e9 + F.hash("sig") / 2.0**32  # the most frequent values; ties fall alike
+    made = lists.groupBy("value").agg(
+        F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.max_by(F.struct("sig", "n", "k", "pos"), order).alias("h"),
+        F.min("df").alias("df"), F.count("*").alias("many"), F.bit_xor(F.xxhash64("sig")).alias("members"),
+    ).where("lo != hi")
+    once = made.groupBy("members", "many").agg(F.min_by(F.struct("value", "h"), F.struct("df", "value")).alias("x"))
+    return once.select("x.value", *(F.col(f"x.h.{y}").alias(f"h_{y}") for y in ("sig", "n", "k", "pos")))
 
 
 def _may_link(c: NearDedup, a: str, b: str) -> F.Column:
@@ -172,22 +202,29 @@ def _may_link(c: NearDedup, a: str, b: str) -> F.Column:
     return sizes & (room >= need)
 
 
-def _estimated(pairs: DataFrame, small: DataFrame, c: NearDedup) -> DataFrame:
+def _sent(df: DataFrame, c: NearDedup) -> DataFrame:
+    """A table of ids to look up, marked for broadcast where its counted rows are few."""
+    return F.broadcast(df) if df.limit(c.broadcast_ids + 1).count() <= c.broadcast_ids else df
+
+
+def _estimated(pairs: DataFrame, asked: DataFrame, sketched: DataFrame, c: NearDedup) -> DataFrame:
     """Keeps the pairs whose union sketch doesn't rule out a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), "<u4") for v in (x, y))
+                x, y = (v.values.to_numpy(zero_copy_only=False) for v in (x, y))
                 union = np.union1d(x, y)[: c.estimated]
                 both = np.intersect1d(np.intersect1d(x, y), union)
                 m = len(union)
                 keep.append(len(both) >= m * c.percent / 100 - c.z * np.sqrt(m * c.percent / 100 * (1 - c.percent / 100)) - 1)
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    least = F.slice("retained", 1, c.estimated).alias("small")
+    small = written(sketched.where("retained is not null").join(_sent(asked, c), "sig", "left_semi").select("sig", least), "asked").dropDuplicates(["sig"])
     left, right = (small.select(F.col("sig").alias(x), F.col("small").alias(f"small_{x}")) for x in "ab")
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "small_a", "small_b").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "small_a", "small_b").mapInArrow(run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, c: NearDedup) -> DataFrame:
@@ -207,11 +244,10 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, c: NearDed
                 keep.append(100 * both >= c.percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    wanted = written(needed.join(classes, "sig").select("sig", F.col("doc_id").alias("rep"), "text_key"), "wanted")
-    few = wanted.limit(c.broadcast_ids + 1).count() <= c.broadcast_ids
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "needed")
+    wanted = written(classes.join(_sent(needed, c), "sig").select("sig", F.col("doc_id").alias("rep"), "text_key"), "wanted")
     on = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.xxhash64("text") == F.col("text_key"))
-    found = docs.join(F.broadcast(wanted) if few else wanted, on).select("sig", "text")
+    found = docs.join(_sent(wanted, c), on).select("sig", "text")
     sets = written(found.mapInArrow(full, "sig long, hashes binary").dropDuplicates(["sig"]), "sets")
     left, right = (sets.select(F.col("sig").alias(x), F.col("hashes").alias(f"hashes_{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b")
@@ -247,17 +283,18 @@ def _judged(docs: DataFrame, c: NearDedup) -> DataFrame:
     its component that stays: the least doc_id, nulls last, then the least text_key. Both are null without shingles."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = written(sketches(docs, c), "sketches")
-    lists = written(postings(sketched, c, counted(sketched, c)), "postings")
-    order = F.col("weight").cast("double") * 1e9 + F.hash("sig") / 2.0**32  # the most frequent values; ties fall alike
-    hubs = lists.groupBy("value").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), *(F.max_by(x, order).alias(f"h_{x}") for x in ("sig", "n", "k", "pos")))
-    lists = lists.select("value", *(F.col(x).alias(f"m_{x}") for x in ("sig", "n", "k", "pos")))
-    grouped = written(lists.join(hubs.where("lo != hi").drop("lo", "hi"), "value"), "overlaps")
-    small = sketched.where("small is not null").select("sig", "small").dropDuplicates(["sig"])
-    classes = written(sketched.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min(_key()).alias("keep")).select("sig", "least", "keep", "rep.doc_id", "rep.text_key"), "classes")
+    lists = written(postings(sketched, c), "postings")
+    hubs = written(hubs_of(lists), "hubs")
+    members = lists.select("value", *(F.col(x).alias(f"m_{x}") for x in ("sig", "n", "k", "pos")))
+    grouped = written(members.join(hubs, "value"), "overlaps")
+    rep = F.min(F.struct("doc_id", "text_key")).alias("rep")
+    classes = sketched.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), rep, F.min(_key()).alias("keep"))
+    classes = written(classes.select("sig", "least", "keep", "rep.doc_id", "rep.text_key"), "classes")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        return _confirmed(written(_estimated(pairs, small, c), "pairs"), docs, classes, c)
+        pairs = written(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
+        asked = written(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "ids")
+        return _confirmed(written(_estimated(pairs, asked, sketched, c), "pairs"), docs, classes, c)
 
     spokes = linked(grouped.where("m_sig != h_sig").where(_may_link(c, "m", "h")).select(F.col("m_sig").alias("x"), F.col("h_sig").alias("y")))
     groups = components(spokes)
