@@ -66,7 +66,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-    labelled = spark.createDataFrame(url_filter.LABELLED, "url string, label int")
+    labelled = spark.createDataFrame(url_filter.labelled_urls(), "url string, label int")
     return url_filter.judge(table(spark, sf_dir, "pages"), labelled, url_filter.UrlFilter(rules))
 
 
@@ -78,7 +78,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store(table(spark, sf_dir, "documents"))
     pages = media.interleaved(stored.select(F.struct("doc_id", "n_bytes").alias("document"), "html"), "document")
     rows = media.resolved(pages, "document", media.features(stored))
-    return rows.select("document.doc_id", "document.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return rows.select("document.doc_id", "document.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
