@@ -27,7 +27,7 @@ def add(name, make, sql=None, digits=6, ctes=""):
         SQL[name] = f"WITH {SAMPLES}{ctes} {sql}"
 
 
-NAMES = {1: "bull", 2: "crisis", 3: "sideways", 4: "none"}
+NAMES = {1: "trending_up", 2: "low_liquidity", 3: "range_bound", 4: "none"}
 named = lambda d: d.withColumn("regime_name", F.element_at(F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv]), F.col("regime").cast("int")))
 CLIP = "least(greatest(r / greatest(vol, 1e-8), -3), 3) * greatest(vol, 1e-8)"
 sp = lambda e: f"(CASE WHEN {e} > 20 THEN {e} ELSE ln(1 + exp(least({e}, 20))) END)"

@@ -88,10 +88,13 @@ add("walk_forward_ols", lambda d: v.walk_forward_ols(d).select("symbol", "row_id
 COMBOS = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {list(c)})" for i, c in enumerate(combinations(range(6), 3))) + ") AS t(combo, chosen)"
 CPCV = f"SELECT symbol, combo, y, yhat, CASE WHEN list_contains(chosen, g) THEN 'test' ELSE 'train' END AS role FROM (SELECT *, least(row_id // (n // 6), 5) AS g FROM s), ({COMBOS}) WHERE list_contains(chosen, g) OR len(list_filter(chosen, lambda q: row_id >= q * (n // 6) - 5 AND row_id < CASE WHEN q = 5 THEN n ELSE (q + 1) * (n // 6) END + 5)) = 0"
 add("cpcv", v.cpcv, "SELECT symbol, combo::BIGINT AS combo, round(rmse, 6) AS rmse, n_test FROM sc", ctes=score_sql(CPCV, "symbol, combo", ""))
-PBO = """, dr AS (SELECT d, combo, round(rmse, 12) AS rmse, (d * 7919 + combo * 104729 + (d * combo + 7) * 1299709) % 1000003 AS hh FROM sc, (SELECT unnest(range(0, 1000)) AS d)),
-sd AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY hh, combo) % 2 AS side FROM dr),
-ab AS (SELECT d, 0.5 * avg((sd.rmse > b.best)::INT) + 0.5 * avg((sd.rmse >= b.best)::INT) AS above FROM sd JOIN (SELECT d, min(rmse) AS best FROM sd WHERE side = 1 GROUP BY d) b USING (d) WHERE side = 0 GROUP BY d)"""
-add("backtest_overfit", lambda d: v.backtest_overfit(v.cpcv(d).withColumn("rmse", F.round("rmse", 12))), "SELECT round(avg((above < 0.5)::INT), 6) AS pbo FROM ab", ctes=score_sql(CPCV, "symbol, combo", PBO))
+PBO = """, dr AS (SELECT symbol, d, combo, round(rmse, 12) AS rmse, (d * 7919 + combo * 104729 + (d * combo + 7) * 1299709) % 1000003 AS hh
+FROM sc, (SELECT unnest(range(0, 1000)) AS d)),
+sd AS (SELECT *, row_number() OVER (PARTITION BY symbol, d ORDER BY hh, combo) % 2 AS side FROM dr),
+ab AS (SELECT symbol, d, 0.5 * avg((sd.rmse > b.best)::INT) + 0.5 * avg((sd.rmse >= b.best)::INT) AS above FROM sd
+JOIN (SELECT symbol, d, min(rmse) AS best FROM sd WHERE side = 1 GROUP BY ALL) b USING (symbol, d) WHERE side = 0 GROUP BY ALL)"""
+OVERFIT = "SELECT symbol, round(avg((above < 0.5)::INT), 6) AS pbo FROM ab GROUP BY symbol"
+add("backtest_overfit", lambda d: v.backtest_overfit(v.cpcv(d).withColumn("rmse", F.round("rmse", 12))), OVERFIT, ctes=score_sql(CPCV, "symbol, combo", PBO))
 add("performance_decay", v.decay, "SELECT symbol, q AS quintile, round(rmse, 6) AS rmse, round(regr_slope(rmse, q) OVER (PARTITION BY symbol), 6) AS trend FROM (SELECT symbol, greatest(1, ceil(round(rn * 5 / (m - 1.0), 9)))::BIGINT AS q, sqrt(avg(power(y - yhat, 2))) AS rmse FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY row_id) - 1 AS rn, count(*) OVER (PARTITION BY symbol) AS m FROM s WHERE yhat IS NOT NULL) GROUP BY 1, 2)")
 MC = ", mc AS (SELECT *, sum((near = 0)::INT) OVER (PARTITION BY symbol, rep) AS free FROM (SELECT *, max(picked::INT) OVER (PARTITION BY symbol, rep ORDER BY row_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM (SELECT s.*, rep, (row_id * 48271 + rep * 69621 + row_id * rep * 16807) % 10007 < 8006 AS picked FROM s, (SELECT unnest(range(0, 100)) AS rep) WHERE yhat IS NOT NULL)))"
 add("monte_carlo", v.monte_carlo, "SELECT symbol, rep, round(rmse, 6) AS rmse, n_test FROM sc", ctes=MC + score_sql("SELECT *, CASE WHEN picked THEN 'train' ELSE 'test' END AS role FROM mc WHERE picked OR free = 0 OR near = 0", "symbol, rep", ""))
