@@ -89,7 +89,7 @@ def adaptive_average(df: DataFrame, base: int = 20, least: int = 5, most: int =
     df = df.withColumn("adaptive_timeframe", length).withColumn("__i", F.row_number().over(series()))
     closes = F.collect_list("close").over(rows(most))
     take = F.least("__i", "adaptive_timeframe")
-    mean = F.aggregate(F.slice(closes, -take, take), F.lit(0.0), lambda a, x: a + x) / take
+    mean = F.round(F.aggregate(F.slice(closes, -take, take), F.lit(0.0), lambda a, x: a + x), 6) / take
     return df.withColumn("adaptive_sma", F.when(F.col("__i") > least, mean)).drop("__a", "__i")
 
 

@@ -251,11 +251,11 @@ SQL["transformations"] = (
     f"JOIN (WITH {ORDER_BARS} SELECT symbol, ts, round(ln(close), 6) AS log_close FROM b0 WHERE close > 0) USING (symbol, ts)"
 )
 Q["adaptive_average"] = lambda spark, sf: rounded(
-    a.adaptive_average(rc.wilder_indicators(order_bars(spark, sf)).withColumn("atr", F.round("atr", 4))), ["adaptive_timeframe", "adaptive_sma"], 4
+    a.adaptive_average(rc.wilder_indicators(order_bars(spark, sf)).withColumn("atr", F.round("atr", 4))), ["adaptive_timeframe", "adaptive_sma"], 7
 )
 RANK = "(len(list_filter(va, lambda z: z < sh)) + (len(list_filter(va, lambda z: z = sh)) + 1) / 2) / len(va)"
 SQL["adaptive_average"] = (
-    f"SELECT symbol, ts, tf AS adaptive_timeframe, round(CASE WHEN i > 5 THEN list_avg(vc[len(vc) - least(i, tf) + 1:len(vc)]) END, 4) AS adaptive_sma FROM "
+    f"SELECT symbol, ts, tf AS adaptive_timeframe, round(CASE WHEN i > 5 THEN round(list_sum(vc[len(vc) - least(i, tf) + 1:len(vc)]), 6) / least(i, tf) END, 7) AS adaptive_sma FROM "
     f"(SELECT symbol, ts, i, vc, greatest(least(coalesce(round_even(round(20 * (1 + CASE WHEN sh IS NOT NULL AND ns = 50 THEN {RANK} END), 9), 0), 20), 50), 5)::INT AS tf FROM "
     f"(SELECT symbol, ts, sh, row_number() {SERIES} AS i, list(close) {last(50)} AS vc, list_filter(list(sh) {last(50)}, lambda z: z IS NOT NULL) AS va, count(sh) {last(50)} AS ns FROM "
     f"(SELECT symbol, ts, close, round(atr / nullif(close, 0), 12) AS sh FROM (WITH {ORDER_BARS} SELECT symbol, ts, close FROM b0) JOIN ({PART['wilder_indicators']}) USING (symbol, ts))))"
