@@ -91,7 +91,7 @@ def lasso_path(df: DataFrame, features: list[str], target: str, alphas: int = 20
     """Mean absolute coefficients over purged folds at the alpha with the least test error, and that alpha.
 
     Moments of every fold's train and test rows come from one aggregation; the fits need them only, so their cost does not
-    depend on the number of rows. Columns are scaled by the train rows' deviation."""
+    depend on the number of rows. Columns and the target are scaled by the train rows' deviation."""
     cols = [*features, target]
     rows = purged_by_rows(df, folds, overlap).where(" and ".join(f"{c} is not null" for c in cols))
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]

@@ -32,6 +32,7 @@ class ParamSpec:
 REPAIRS: dict[str, Callable[[dict], dict]] = {
     "leaves": lambda p: p | {"num_leaves": min(p["num_leaves"], 2.0 ** p["max_depth"])} if {"num_leaves", "max_depth"} <= p.keys() else p,
     "leaf_size": lambda p: p | {"min_leaf": max(p["min_leaf"], 10.0)} if "min_leaf" in p else p,
+    "child_weight": lambda p: p | {"child_weight": max(p["child_weight"], 0.5 / p["subsample"] + 1e-6)} if {"child_weight", "subsample"} <= p.keys() else p,
 }
 
 
