@@ -14,9 +14,9 @@ from ..operators import selection as sel
 from ..operators import validation as v
 from ..sources.bars import order_bars, ship_bars
 from ..sources.samples import samples
-from . import context, models, validation, volatility
+from . import context, indicators, models, validation, volatility
 from .models import FEATURES, TM, named
-from .sqltext import ORDER_BARS, SERIES, last
+from .sqltext import EVENT_BARS, ORDER_BARS, SERIES, last
 from .validation import CPCV, FOLD, GRID, MC, ROLE, SAMPLES, STRAT, forecast_sql, risk_sql, score_sql, tidy
 
 Q, SQL = {}, {}
@@ -264,3 +264,22 @@ Q["vol_of_vol"] = lambda spark, sf: rounded(a.vol_of_vol(rc.garch_filter(order_b
 SQL["vol_of_vol"] = (
     f"SELECT symbol, ts, round(CASE WHEN count(v) {last(20)} = 20 THEN stddev_samp(v) {last(20)} END, 4) AS vol_of_vol FROM (SELECT *, sqrt(garch_var) AS v FROM ({PART['garch_filter']}))"
 )
+
+# The wide frame: the families' SQL over the same bars.
+FRAME = {
+    "returns_basic": ["returns"], "rolling_volatility": ["rolling_vol_20"], "tail_risk": ["var_95"], "bollinger": ["bbp"],
+    "stochastic": ["stoch"], "money_flow": ["mfi", "cmf"], "oscillators": ["roc", "uo"],
+}
+WIDE = [c for columns in FRAME.values() for c in columns]
+DIGITS = {"bbp": 4, "roc": 4, "uo": 4, "mfi": 9, "cmf": 9}  # as the families' queries round
+
+
+def _wide(spark, sf):
+    d = models.wide_frame(order_bars(spark, sf))
+    return d.select("symbol", "ts", *[F.round(F.when(~F.isnan(c), F.col(c)), DIGITS.get(c, 6)).alias(c) for c in WIDE])
+
+
+Q["feature_frame"] = _wide
+SQL["feature_frame"] = f"SELECT symbol, ts, {', '.join(WIDE)} FROM " + " JOIN ".join(
+    f"(SELECT symbol, ts, {', '.join(FRAME[n])} FROM ({(PART | indicators.SQL)[n].replace(EVENT_BARS, ORDER_BARS)})) q{i}" + (" USING (symbol, ts)" if i else "") for i, n in enumerate(FRAME)
+)

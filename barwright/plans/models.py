@@ -119,15 +119,12 @@ Q["adf_statistic"] = lambda spark, sf: tidy(rc.adf(order_bars(spark, sf)), 4)
 SQL["adf_statistic"] = f"WITH {ORDER_BARS}, d AS (SELECT symbol, {lag('close')} AS b, close - {lag('close')} AS d FROM b0) SELECT symbol, round(regr_slope(d, b) / sqrt((1 - regr_r2(d, b)) * var_pop(d) / ((count(*) - 2) * var_pop(b))), 4) AS adf_stat FROM d WHERE b IS NOT NULL GROUP BY symbol"
 
 
-def _frame(d):
+def wide_frame(d):
     """The wide feature frame: all native families in a few projections."""
     d = vo.tail_risk(vo.vol_dynamics(vo.range_volatility(vo.ranges(vo.rolling_volatility(vo.returns(d))))))
     return ti.oscillators(ti.money_flow(ti.stochastic(ti.bollinger(ti.prices(d)))))
 
 
-Q["feature_frame"] = lambda spark, sf: rounded(_frame(order_bars(spark, sf)), ["returns", "rolling_vol_20", "var_95", "bbp", "stoch", "mfi", "cmf", "roc", "uo"], 4)
-
-
 def _panel(spark, sf):
     """Window features over the wide panel of suppliers' price series: one shuffle by symbol for all frames."""
     d = vo.vol_dynamics(vo.rolling_volatility(vo.returns(tick_panel(spark, sf))))
