@@ -48,6 +48,12 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to 4 MB, so that what tasks and workers hold of long texts stays small beside
+    their memory. Results don't depend on it; Spark's own bound lets a batch grow to many times that."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def word_count(text) -> F.Column:
     """Number of words of a string column; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

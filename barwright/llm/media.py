@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, written
+from .common import chunks, small_batches, written
 
 WIDTH = 64
 _MEDIA = {"img", "video", "audio", "source", "embed"}
@@ -147,6 +147,7 @@ def store(docs: DataFrame) -> DataFrame:
                 media.append(image)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(html), pa.array(digest), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "html", "digest", "media"])
 
+    small_batches(docs.sparkSession)
     shape = "doc_id long, n_bytes long, html string, digest string, media binary"
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, shape)
     return written(rows, "media", **{"parquet.block.size": str(32 << 20), "parquet.enable.dictionary": "false"})

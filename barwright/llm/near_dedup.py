@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHashes, chunks, lower_words, shingle_hashes, written
+from .common import WordHashes, chunks, lower_words, shingle_hashes, small_batches, written
 
 
 @dataclass(frozen=True)
@@ -281,6 +281,7 @@ def _key() -> F.Column:
 def _judged(docs: DataFrame, c: NearDedup) -> DataFrame:
     """One row per document: doc_id, text_key, n, component_id and keep, the (none, doc_id, text_key) of the document of
     its component that stays: the least doc_id, nulls last, then the least text_key. Both are null without shingles."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = written(sketches(docs, c), "sketches")
     lists = written(postings(sketched, c), "postings")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, small_batches
 from .tokens import encoder
 
 
@@ -132,5 +132,6 @@ def pack(docs: DataFrame, c: Packing) -> DataFrame:
         if group:
             yield sequences(group)
 
+    small_batches(docs.sparkSession)
     shape = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, shape)

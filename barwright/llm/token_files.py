@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, small_batches
 from .tokens import encoder
 
 
@@ -40,6 +40,8 @@ def write_token_files(docs: DataFrame, path: str, c: TokenFiles) -> None:
     list is the end id alone. An empty table gives files without rows.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
