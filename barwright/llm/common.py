@@ -62,7 +62,7 @@ def word_count(text) -> F.Column:
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a bound."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 16
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
