@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path
-from . import line_chunks, media, url_filter
+from . import line_chunks, media, negatives, resampling, url_filter
 from .mixing import mix_plan
 from .near_dedup import NearDedup, near_duplicates
 from .packing import Packing, pack
 from . import toxicity
 from .passages import repeated_passages
 from .syncmers import fingerprints_and_edits
+from .token_counts import TokenCounts, token_counts
 from .token_files import TokenFiles, read_token_files, with_crc32, write_token_files
 
 
@@ -81,6 +82,20 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("document.doc_id", "document.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), TokenCounts(vocabulary("piece_bpe_32k.model")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_mixing": op2_mixing,
@@ -92,8 +107,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_passages": op9_passages,
     "op10_media": op10_media,
+    "op11_resampling": op11_resampling,
+    "op12_token_counts": op12_token_counts,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 SQL: dict[str, str] = {
     "op6_line_chunks": line_chunks.sql(),
+    "op11_resampling": resampling.sql(),
+    "op13_hard_negatives": negatives.sql(),
 }
