@@ -7,6 +7,9 @@ mass is the same in both classes. Discounts come from counts of counts and lie u
 count however few they are beside the input. The score compares the length-normalised log-likelihoods of a text under
 the two models: over the whole text and over its strongest words.
 
+Weights of the score are fitted on a bounded sample of training texts, each scored without the contexts that it alone
+has: what other texts of its class hold too stays, as it does for texts that come later.
+
 Words are hashed into cells, whose number grows with the training text up to a bound, so that the model can be sent to
 all executors. Counts cover all labelled training rows.
 (With a bigram level on top, held-out accuracy fell: most bigrams of a text occur nowhere else.)
@@ -107,16 +110,17 @@ def _discount(contexts: np.ndarray, otherwise: float) -> float:
     return once / (once + 2 * twice) if once and twice else otherwise
 
 
-def _features(h: np.ndarray, t: _Tables, own: int | None = None) -> list[float]:
-    """Length-normalised log-likelihood ratios of a text; ``own`` leaves the text's own contexts out of that class."""
+def _features(h: np.ndarray, t: _Tables, own: tuple[int, np.ndarray, np.ndarray] | None = None) -> list[float]:
+    """Length-normalised log-likelihood ratios of a text. ``own``: its class, and the cells (ascending) and numbers of the
+    contexts that no other text of the class has, which are left out."""
     cells = t.contexts.shape[1]
     cell = (h & np.uint64(cells - 1)).astype(np.int64)
     n = t.contexts[:, cell].astype(np.float64)
     backoff = t.backoff * (n.sum(0) + 0.5)
-    if own is not None:
-        pairs = np.unique(_keys(h, 0, cells)) >> BEFORE  # the cells of the text's distinct contexts
-        at, many = np.unique(pairs, return_counts=True)
-        n[own] = np.maximum(n[own] - many[np.searchsorted(at, cell)], 0)
+    if own is not None and len(own[1]):
+        label, at, many = own
+        place = np.minimum(np.searchsorted(at, cell), len(at) - 1)
+        n[label] = np.maximum(n[label] - np.where(at[place] == cell, many[place], 0), 0)
     p = np.maximum(n - t.discount[:, None], 0) * t.factor[:, None] + backoff
     ratio = np.log(p[1] / p[0])
     m = len(ratio)
@@ -141,18 +145,29 @@ def train(docs: DataFrame, labels: DataFrame, c: Toxicity = Toxicity()) -> Model
     chars = sum(r.chars or 0 for r in told.values())
     cells = min(c.most_cells, max(c.cells, 1 << math.ceil(math.log2(max(1, chars / c.chars)))))
 
+    # Texts that fit the logistic step are told apart by their hash; all others are 0. Copies of a text are one text.
+    drawn = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 20)) < F.lit(int(min(1.0, c.sample / max(1, ones + zeros)) * (1 << 20)))
+    rows = rows.where("text is not null").withColumn("who", F.when(drawn, F.xxhash64("text")).otherwise(F.lit(0)))
+
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for b in chunks(batches):
-            found = [_keys(hashes.of(w), y, cells) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (w := lower_words(t))]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], ["context"])
+            found = {}
+            for text, y, who in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if w := lower_words(text):
+                    found.setdefault(who, []).append(_keys(hashes.of(w), y, cells))
+            for who, keys in found.items():
+                keys = np.unique(np.concatenate(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), who))], ["context", "who"])
 
     cell = F.shiftrightunsigned("context", BEFORE)
-    seen = rows.select("text", "toxic").mapInArrow(contexts, "context long").distinct()
-    sums = seen.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).toArrow()  # two rows a cell at most
+    seen = rows.select("text", "toxic", "who").mapInArrow(contexts, "context long, who long")
+    seen = seen.groupBy("context").agg(F.min("who").alias("low"), F.max("who").alias("high"))
+    alone = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(0).alias("who")  # the one text that has the context
+    sums = written(seen.groupBy(cell.alias("cell"), alone).agg(F.count("*").alias("n")), "contexts")
     table = np.zeros((2, cells), np.float32)
-    at, n = sums.column("cell").to_numpy(), sums.column("n").to_numpy()
+    told = sums.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # two rows a cell at most
+    at, n = told.column("cell").to_numpy(), told.column("n").to_numpy()
     table[at // cells, at % cells] = n
     share = ones / (ones + zeros) if ones + zeros else 0.0
     tables = _Tables(table, tuple(_discount(row, c.discount) for row in table))
@@ -165,12 +180,19 @@ def train(docs: DataFrame, labels: DataFrame, c: Toxicity = Toxicity()) -> Model
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for b in chunks(batches):
-            out = [(y, _features(hashes.of(w), shared.value, y)) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (w := lower_words(t))]
+            out = []
+            for text, y, at, many in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if w := lower_words(text):
+                    at = np.array(at or [], np.int64)
+                    order = np.argsort(at)
+                    out.append((y, _features(hashes.of(w), shared.value, (y, at[order], np.array(many or [], np.float64)[order]))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in out], pa.int32()), pa.array([x for _, x in out], pa.list_(pa.float64()))], ["toxic", "x"])
 
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(min(1.0, c.sample / (ones + zeros)) * (1 << 20)))
-    got = rows.where(part).select("text", "toxic").mapInArrow(features, "toxic int, x array<double>").toArrow()
+    own = sums.where("who != 0").groupBy("who", F.shiftright("cell", cells.bit_length() - 1).cast("int").alias("toxic"))  # drawn texts alone
+    own = own.agg(F.collect_list(F.col("cell").bitwiseAND(F.lit(cells - 1))).alias("at"), F.collect_list("n").alias("many"))
+    chosen = rows.where("who != 0").dropDuplicates(["who", "toxic"]).join(own, ["who", "toxic"], "left").select("text", "toxic", "at", "many")
+    got = chosen.mapInArrow(features, "toxic int, x array<double>").toArrow()
     shared.destroy()
     y = got.column("toxic").to_numpy().astype(np.float64)
     if not 0 < y.sum() < len(y):
