@@ -48,6 +48,11 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame) -> F.Column:
+    """All columns of a table in one struct, whatever their names hold."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
 def small_batches(spark: SparkSession) -> None:
     """Sets the session's Arrow batches to 4 MB, so that what tasks and workers hold of long texts stays small beside
     their memory. Results don't depend on it; Spark's own bound lets a batch grow to many times that."""

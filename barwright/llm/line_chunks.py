@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import whole_row, written
 
 
 @dataclass(frozen=True)
@@ -74,7 +74,7 @@ def _deduplicated(docs: DataFrame, c: LineChunks) -> DataFrame:
     first = again.groupBy("content").agg(F.min(place).alias("first"), F.max(place).alias("last"))  # the bytes themselves are compared
     gone = again.join(first.where("not first <=> last"), "content").where(~place.eqNullSafe(F.col("first")))
     gone = written(gone.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set("chunk").alias("__gone")), "gone")
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), doc_id.alias("__doc"), text.alias("text"), F.xxhash64(text).alias("__k"))
+    rows = docs.select(whole_row(docs).alias("__row"), doc_id.alias("__doc"), text.alias("text"), F.xxhash64(text).alias("__k"))
     rows = rows.join(_sent_if_few(gone, c.broadcast_docs), F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key")), "left")
     split = _chunked(rows.select("__row", "text", F.coalesce("__gone", F.array().cast("array<int>")).alias("__gone")), c)
     split = split.withColumn("kept", F.filter(F.sequence(F.lit(0), F.size("cuts")), lambda j: (j > 0) & ~F.array_contains("__gone", j)))

@@ -21,14 +21,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, word_count, written
+from .common import WORD, whole_row, word_count, written
 
 
 @dataclass(frozen=True)
 class Mixing:
     """weights: of sources by code point, null last, repeating. share: words of the mix per word of all sources.
-    most: targets stop at so many times their source's words, one epoch each. block: words of a block, more where
-    ``blocks`` of them would not hold all epochs. shard: words of an output shard, more where ``shards`` are not enough.
+    most: targets stop at so many times their source's words, one epoch each. block: words of a block, fewer where a source
+    would have less than ``each`` blocks, more where ``blocks`` of them would not hold all epochs. shard: words of an output
+    shard, fewer where there would be less than ``least_shards``, more where ``shards`` are not enough or where the quotas
+    of all shards, sources and epochs would be over ``quotas`` numbers.
     part: words of a shard that are ordered together."""
 
     weights: tuple[float, ...] = (5, 2, 1)
@@ -36,7 +38,10 @@ class Mixing:
     most: int = 2
     block: int = 1 << 15
     blocks: int = 1 << 18
+    each: int = 64
     shard: int = 1 << 20
+    least_shards: int = 4
+    quotas: int = 1 << 24
     shards: int = 4096
     part: int = 1 << 24
     seed: int = 20
@@ -93,7 +98,8 @@ def _sources(sized: DataFrame, c: Mixing) -> DataFrame:
     weights = [float(c.weights[i % len(c.weights)]) for i in range(len(rows))]
     goal = targets(sizes, weights, c.share * sum(sizes), c.most)
     block = max(c.block, 2 * c.most * sum(sizes) // c.blocks)
-    bits = [max(0, math.ceil(math.log2(max(1, n / block)))) for n in sizes]
+    least = min(c.each, c.blocks // (2 * c.most * max(1, len(sizes))))
+    bits = [max(0, math.ceil(math.log2(max(1, n / block))), min(n, least).bit_length() - 1) for n in sizes]
     out = [(i, r.source, sizes[i], goal[i], min(round(goal[i]), c.most * sizes[i]), bits[i]) for i, r in enumerate(rows)]
     return written(sized.sparkSession.createDataFrame(out, T._parse_datatype_string(SOURCES)).coalesce(1), "sources")
 
@@ -122,7 +128,8 @@ def _drawn(rows: DataFrame, sources: DataFrame, c: Mixing) -> tuple[DataFrame, i
     sid, epoch, block, n = (sums.column(x).to_numpy() for x in ("sid", "epoch", "block", "n"))
     goals = {r.sid: r.goal for r in sources.select("sid", "goal").collect()}
     total = sum(goals.values())
-    shards = max(1, min(c.shards, -(-total // c.shard)))
+    many = len(np.unique(sid * c.most + epoch)) if len(sid) else 1
+    shards = max(1, min(c.shards, max(c.least_shards, -(-total // c.shard)), c.quotas // max(1, many)))
     strata, left = [], dict(goals)
     for key in sorted(set(zip(sid.tolist(), epoch.tolist(), strict=True))):
         here = np.flatnonzero((sid == key[0]) & (epoch == key[1]))
@@ -221,7 +228,7 @@ def mixed(docs: DataFrame, c: Mixing = Mixing()) -> DataFrame:
     """
     _, sources, blocks, cuts, parts = _planned(docs, c)
     text = F.col("text").cast("string")
-    row = F.struct(*docs.columns).alias("__row")
+    row = whole_row(docs).alias("__row")
     key = F.xxhash64(text).alias("text_key")
     rows = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), key, F.col("source").cast("string").alias("source"), F.coalesce(text.rlike(WORD), F.lit(False)).alias("filled"))
     rows = _with_draws(_with_source(rows, sources), blocks, cuts, c).select("__row", F.explode("draws").alias("draw"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHashes, chunks, lower_words, shingle_hashes, small_batches, written
+from .common import WordHashes, chunks, lower_words, shingle_hashes, small_batches, whole_row, written
 
 
 @dataclass(frozen=True)
@@ -335,12 +335,13 @@ def deduplicated(docs: DataFrame, c: NearDedup = NearDedup()) -> DataFrame:
     their own text.
     """
     judged = written(_judged(docs, c).where("n > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), (~_key().eqNullSafe(F.col("keep"))).alias("__gone")), "judged")
-    here, key = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
-    on = here.eqNullSafe(F.col("__id")) & (key == F.col("__key"))
-    left = docs.join(judged.where("__gone").select("__id", "__key").distinct(), on, "left_anti")
+    here, key = F.col("doc_id").cast("long").alias("__doc"), F.xxhash64(F.col("text").cast("string")).alias("__text")
+    rows = docs.select(whole_row(docs).alias("__row"), here, key)  # in one struct, so that no name clashes
+    columns = [F.col("__row")[x].alias(x) for x in docs.columns]
+    on = F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key"))
+    left = rows.join(judged.where("__gone").select("__id", "__key").distinct(), on, "left_anti")
     again = written(judged.where("not __gone").groupBy("__id", "__key").agg(F.count("*").alias("n")).where("n > 1").select("__id", "__key"), "again")
     if not again.limit(1).count():
-        return left
-    row = F.struct(*docs.columns)
-    one = left.join(again, on).groupBy("__id", "__key").agg(F.min_by(row, F.to_json(row)).alias("__row"))
-    return left.join(again, on, "left_anti").unionByName(one.select("__row.*"))
+        return left.select(columns)
+    one = left.join(again, on).groupBy("__id", "__key").agg(F.min_by("__row", F.to_json("__row")).alias("__row"))
+    return left.join(again, on, "left_anti").select(columns).unionByName(one.select(columns))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import written, whole_row
 
 
 @dataclass(frozen=True)
@@ -87,7 +87,7 @@ def anchors(docs: DataFrame, c: Syncmers = Syncmers()) -> DataFrame:
     Null and empty texts, and texts of fewer than ``k`` tokens, have no anchors. Other columns stay, except one named
     anchors, which is replaced. Equal texts have equal anchors; an empty table stays empty.
     """
-    row = docs.select(F.struct(*[x for x in docs.columns if x != "anchors"]).alias("__row"))
+    row = docs.select(whole_row(docs.drop("anchors")).alias("__row"))
     rows = row.withColumn("__tokens", token_hashes(F.coalesce(F.col("__row.text").cast("string"), F.lit("")), c))
     return _with_anchors(rows, "__tokens", "anchors", c).select("__row.*", "anchors")
 

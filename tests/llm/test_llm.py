@@ -17,7 +17,8 @@ from barwright.llm.common import new_path
 from barwright.llm.tokens import WordEncoder
 from tests.compare import same
 
-SHAPE = "doc_id long, text string, lang string, source string, n_chars long, sig string, n string, hash string, draws string, kept_text string, score string"
+CLASHES = ["sig", "n", "hash", "draws", "kept_text", "score", "a.b", "__id", "__key", "__row", "place", "b`c"]
+SHAPE = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join("`" + x.replace("`", "``") + "` string" for x in CLASHES)
 
 
 @pytest.fixture(scope="module")
@@ -29,8 +30,8 @@ def docs(sf):
 def odd(spark):
     long = " ".join(f"w{i % 997}" for i in range(30_000))
     texts = [None, "", " \n ", "one", "a b", "same text here\nand more of it\nand a third", "same text here\nand more of it\nand a third", long, long + " more", "😀 é日本 <|endoftext|> x"]
-    rows = [(i if i != 3 else None, t, None, None if i % 4 == 0 else f"s{i % 3}", 1, *("x",) * 6) for i, t in enumerate(texts)]
-    rows += [rows[5], rows[5], (None, None, None, None, None, *("x",) * 6)]
+    rows = [(i if i != 3 else None, t, None, None if i % 4 == 0 else f"s{i % 3}", 1, *("x",) * len(CLASHES)) for i, t in enumerate(texts)]
+    rows += [rows[5], rows[5], (None, None, None, None, None, *("x",) * len(CLASHES))]
     return spark.createDataFrame(rows, SHAPE)
 
 
@@ -174,6 +175,21 @@ def test_mixing_takes_what_the_tree_deals(spark):
     assert words["s9"] == by.target["s9"] == 140  # seven rows of ten words, each twice
 
 
+def test_mixing_draws_blocks_at_every_scale(spark, sf):
+    """Sources have many blocks, of which a permuted part is drawn, and the tree parts them among shards in small tables too."""
+    plan = queries.op2_mixing(spark, sf).toPandas()
+    drawn = {(r.source_size, d["epoch"], d["block"], d["shard"]) for r in plan.itertuples() for d in r.draws}
+    assert len({x[3] for x in drawn}) == 4 and len(drawn) > 5 * plan.source_size.nunique()
+    partly = plan[(plan.taken == 0) & (plan["size"] > 0)].source_size.unique()
+    assert len(partly) > 0 and all((plan[plan.source_size == s].taken > 0).any() for s in partly)
+
+
+def test_quotas_of_many_sources_are_bounded(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat('word ', 5) as text", "concat('s', id % 1000) as source")
+    plan = mixing.mix_plan(docs, mixing.Mixing(shard=10, quotas=4000)).toPandas()
+    assert abs(plan.taken.sum() - 1.5 * plan["size"].sum()) <= 1000 and max(d["shard"] for x in plan.draws for d in x) <= 3
+
+
 def test_mixing_targets_are_capped():
     got = mixing.targets([10, 100, 100], [5, 2, 1], 315, 2)
     assert got[0] == 20 and got[1] == pytest.approx(295 * 2 / 3) and sum(got) == pytest.approx(315)
