@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..operators import attribution as at
 from ..operators import chains as ch
 from ..operators import samplers as sp
+from ..operators import training as tr
 from ..operators.tuning import ParamSpec
 from ..sources.samples import samples
-from .models import FEATURES
+from .models import FEATURES, named
 from .validation import FOLD, ROLE, SAMPLES, tidy
 
 Q, SQL = {}, {}
@@ -115,3 +116,7 @@ add(
 )
 add("switching_regimes", lambda d: ch.switching_regimes(d, "y", rounds=15, block=500).select("symbol", "row_id", F.col("smoothed")[1].alias("probability"), "state"))
 add("hierarchical_states", lambda d: ch.hierarchical_states(d, "y", "vol", rounds=10, block=500))
+
+
+# Training
+add("loss_training", lambda d: d.sparkSession.createDataFrame(tr.train(named(d), FEATURES, t=tr.Training(rate=0.002)).history, "epoch long, loss double, k double, alpha double"), digits=8)
