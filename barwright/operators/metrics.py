@@ -93,11 +93,11 @@ def out_of_distribution(df: DataFrame, by: list[str]) -> DataFrame:
 
 def parameter_stability(sets: DataFrame) -> DataFrame:
     """One minus the mean coefficient of variation of the parameters that all sets have, within 0 and 1. Parameters with a
-    zero mean are left out; one set is fully stable, none is not."""
+    zero mean are left out; one set is fully stable, none is not, and neither are sets without such a parameter in common."""
     n = sets.agg(F.count("*").alias("sets"))
     by = sets.select(F.explode("params").alias("param", "x")).groupBy("param")
     by = by.agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.stddev_pop("x").alias("sd"))
     cv = by.select("n", F.when(F.col("m") != 0, F.col("sd") / F.abs("m")).alias("cv"))
     mean = n.join(cv, (F.col("n") == F.col("sets")), "left").groupBy("sets").agg(F.avg("cv").alias("mean_cv"))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.coalesce("mean_cv", F.lit(0.0))))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.coalesce("mean_cv", F.lit(1.0))))
     return mean.select(F.when(F.col("sets") == 0, 0.0).when(F.col("sets") == 1, 1.0).otherwise(score).alias("stability"))

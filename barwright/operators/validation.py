@@ -119,7 +119,8 @@ def cpcv(df: DataFrame, groups: int = 6, tests: int = 3, purge: int = 5) -> Data
 
 def backtest_overfit(scores: DataFrame, draws: int = 1000, seed: int = 7) -> DataFrame:
     """Probability that the best of a random half ranks under the median of the other half. Draws are hashes, so they
-    are the same in any engine that computes them and on every run; lower scores are better."""
+    are the same in any engine that computes them and on every run; lower scores are better. Under four configurations of
+    a symbol there is no probability, but null."""
     draw = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("draw")
     rows = scores.select("symbol", F.col("combo").cast("long").alias("combo"), "rmse", draw)
     mixed = F.col("draw") * 7919 + F.col("combo") * 104729 + (F.col("draw") * F.col("combo") + seed) * 1299709
@@ -130,7 +131,9 @@ def backtest_overfit(scores: DataFrame, draws: int = 1000, seed: int = 7) -> Dat
     share = lambda hit: F.avg(hit.cast("double")) * 0.5
     above = share(F.col("rmse") > F.col("best")) + share(F.col("rmse") >= F.col("best"))
     rest = rows.where("side = 0").join(best, each).groupBy(*each).agg(above.alias("above"))
-    return rest.groupBy("symbol").agg(F.avg((F.col("above") < 0.5).cast("double")).alias("pbo"))
+    enough = scores.groupBy("symbol").agg(F.countDistinct("combo").alias("n"))
+    found = rest.groupBy("symbol").agg(F.avg((F.col("above") < 0.5).cast("double")).alias("pbo"))
+    return enough.join(found, "symbol", "left").select("symbol", F.when(F.col("n") >= 4, F.col("pbo")).alias("pbo"))
 
 
 def decay(df: DataFrame, parts: int = 5) -> DataFrame:

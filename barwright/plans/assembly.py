@@ -12,7 +12,7 @@ from ..operators import metrics as m
 from ..operators import recursive as rc
 from ..operators import selection as sel
 from ..operators import validation as v
-from ..sources.bars import order_bars, ship_bars
+from ..sources.bars import order_bars, quantity_bars, ship_bars
 from ..sources.samples import samples
 from . import context, indicators, models, validation, volatility
 from .models import FEATURES, TM, named
@@ -212,6 +212,25 @@ add(
     10,
 )
 
+TEN = "OVER (PARTITION BY symbol ORDER BY row_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
+
+
+def _attention(d):
+    """The first and last of ten steps' weights under a network of one layer, and the sum of all."""
+    w = v.W.partitionBy("symbol").orderBy("row_id").rowsBetween(-9, 0)
+    d = d.withColumn("history", F.when(F.count("y").over(w) == 10, F.collect_list("y").over(w)))
+    found = lo.attention_weights(d, "history", [([[2.0]], [0.5])])
+    return found.select("row_id", F.col("weights")[0].alias("first"), F.col("weights")[9].alias("last"), F.aggregate("weights", F.lit(0.0), lambda t, x: t + x).alias("total"))
+
+
+add(
+    "attention_weights",
+    _attention,
+    "SELECT row_id, round(exp(2 * h[1] - m) / t, 6) AS first, round(exp(2 * h[10] - m) / t, 6) AS last, CASE WHEN h IS NOT NULL THEN 1.0::DOUBLE END AS total FROM "
+    "(SELECT row_id, h, 2 * list_max(h) AS m, list_sum(list_transform(h, lambda x: exp(2 * x - 2 * list_max(h)))) AS t FROM "
+    f"(SELECT row_id, CASE WHEN count(y) {TEN} = 10 THEN list(y) {TEN} END AS h FROM s))",
+)
+
 
 # Features together
 def joined(names):
@@ -232,11 +251,12 @@ family("volatility_features", a.volatility_features, VOLATILITY)
 family("calendar_features", a.calendar_features, ["calendar_parts", "calendar_cycles", "calendar_effects", "holidays"])
 NAMES = [f"{f}_{w}" for w in (20, 60, 120) for f in ("correlation", "beta")]
 Q["cross_asset_features"] = lambda spark, sf: rounded(
-    a.cross_asset_features(order_bars(spark, sf), {"ship": ship_bars(spark, sf), "freight": ship_bars(spark, sf)}),
+    a.cross_asset_features(order_bars(spark, sf), {"ship": ship_bars(spark, sf), "freight": quantity_bars(spark, sf)}),
     [f"{n}_vs_{asset}" for asset in ("ship", "freight") for n in NAMES],
 )
+AGAINST = lambda asset, sql: "(SELECT symbol, ts, " + ", ".join(f"{n} AS {n}_vs_{asset}" for n in NAMES) + f" FROM ({sql}))"
 SQL["cross_asset_features"] = (
-    "SELECT symbol, ts, " + ", ".join(f"{n} AS {n}_vs_{asset}" for asset in ("ship", "freight") for n in NAMES) + f" FROM ({PART['rolling_beta']})"
+    f"SELECT * FROM {AGAINST('ship', PART['rolling_beta'])} JOIN {AGAINST('freight', PART['rolling_beta'].replace('l_extendedprice', 'l_quantity'))} USING (symbol, ts)"
 )
 
 

@@ -115,6 +115,7 @@ add(
     recursive=True,
 )
 add("switching_regimes", lambda d: ch.switching_regimes(d, "y", rounds=15, block=500).select("symbol", "row_id", F.col("smoothed")[1].alias("probability"), "state"))
+add("block_hidden_states", lambda d: ch.likeliest_states(*reversed(ch.fit_chains(d, ["y", "vol"], 3, rounds=15, block=500))))
 add("hierarchical_states", lambda d: ch.hierarchical_states(d, "y", "vol", rounds=10, block=500))
 
 

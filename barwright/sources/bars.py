@@ -60,6 +60,12 @@ def ship_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate_bars(l, F.lit("SHP"), F.col("l_shipdate"), F.col("l_extendedprice"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), F.sum("l_quantity"))
 
 
+def quantity_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of line quantities, one symbol: another reference asset."""
+    l = read(spark, sf_dir, "lineitem")  # noqa: E741
+    return aggregate_bars(l, F.lit("QTY"), F.col("l_shipdate"), F.col("l_quantity"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), F.sum("l_quantity"))
+
+
 def tick_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line prices by supplier in the order of shipment: a wide panel of short series. ``ts`` is the order key."""
     l = read(spark, sf_dir, "lineitem")  # noqa: E741

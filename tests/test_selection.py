@@ -62,3 +62,14 @@ def test_tuner(spark, sf):
         tuner.estimator("nothing", {}, "x", "y", 1)
     assert tuning.REPAIRS["child_weight"]({"child_weight": 0.1, "subsample": 0.5})["child_weight"] > 1
     assert df.where(F.col("row_id") < 0).count() == 0
+
+
+def test_overfit_needs_four_configurations(spark):
+    rows = [("A", c, float(c)) for c in range(3)] + [("B", c, float(c)) for c in range(4)]
+    got = {r.symbol: r.pbo for r in validation.backtest_overfit(spark.createDataFrame(rows, "symbol string, combo int, rmse double")).collect()}
+    assert got["A"] is None and got["B"] is not None
+
+
+def test_parameter_stability_without_a_common_parameter(spark):
+    of = lambda sets: metrics.parameter_stability(spark.createDataFrame([(s,) for s in sets], "params map<string,double>")).first()[0]
+    assert of([{"a": 1.0}, {"b": 2.0}]) == 0 and of([{"a": 0.0}, {"a": 0.0}]) == 0 and of([{"a": 1.0}, {"a": 1.0}]) == 1
