@@ -9,6 +9,7 @@ from ..operators import attribution as at
 from ..operators import chains as ch
 from ..operators import samplers as sp
 from ..operators import training as tr
+from ..operators import warping as wp
 from ..operators.tuning import ParamSpec
 from ..sources.samples import samples
 from .models import FEATURES, named
@@ -121,3 +122,14 @@ add("hierarchical_states", lambda d: ch.hierarchical_states(d, "y", "vol", round
 
 # Training
 add("loss_training", lambda d: d.sparkSession.createDataFrame(tr.train(named(d), FEATURES, t=tr.Training(rate=0.002)).history, "epoch long, loss double, k double, alpha double"), digits=8)
+
+
+# Shapes of windows
+add(
+    "shape_windows",
+    lambda d: wp.windows(d, "y").select("symbol", "start", F.col("values")[0].alias("first"), F.col("values")[19].alias("last"), F.array_max("values").alias("highest")),
+    "SELECT symbol, start, round((v[1] - m) / sd, 6) AS first, round((v[20] - m) / sd, 6) AS last, round((list_max(v) - m) / sd, 6) AS highest FROM "
+    "(SELECT symbol, s0 AS start, list(y ORDER BY row_id) AS v, avg(y) AS m, stddev_pop(y) AS sd, count(y) AS many FROM s, "
+    "(SELECT unnest(range(0, (SELECT max(row_id) + 1 FROM s), 5)) AS s0) WHERE row_id >= s0 AND row_id < s0 + 20 GROUP BY symbol, s0) WHERE many = 20",
+)
+add("shape_regimes", lambda d: wp.shape_regimes(d, "y", band=5))
