@@ -382,7 +382,7 @@ def url_parts(url):
 
 def test_url_model_on_held_out_hosts():
     c, rows = url_filter.UrlFilter(), [(*url_parts(u), y) for u, y in url_filter.labelled_urls()]
-    fold = [zlib.crc32(re.sub(r"^(www|m|blog|shop)\\.", "", h).encode()) % 5 for h, *_ in rows]
+    fold = [zlib.crc32(re.sub(r"^(www|m|blog|shop)\.", "", h).encode()) % 5 for h, *_ in rows]
     hit = told = real = 0
     for f in range(5):
         w = url_filter.fit([r for r, k in zip(rows, fold, strict=True) if k != f], c)
@@ -472,7 +472,7 @@ def test_items_of_pages_keep_text_and_references(spark, sf):
         kinds = [(x["kind"], x["text"], x["caption"]) for x in r.items]
         at = kinds.index(("media", None, f"cap {r.page_id}"))
         assert kinds[at - 1][1] == f"before {r.page_id}" and kinds[at + 1][1] == "after" and [x["position"] for x in r.items] == list(range(len(r.items)))
-        plain = re.sub(r"(?is)<(script|style)\\b.*?</\\1>|<!--.*?-->", " ", dict(rows)[r.page_id])
+        plain = re.sub(r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " ", dict(rows)[r.page_id])
         assert set(re.sub(r"<[^>]*>", " ", plain).split()) >= {w for k, t, _ in kinds if k == "text" for w in t.split() if w.isalpha()}
     got = media.resolved(found, "page_id", media.features(media.store(docs))).toPandas()
     assert len(got) == len(rows) and (got.payload_bytes == 64).all() and (got.caption == [f"cap {i}" for i in got.page_id]).all()
