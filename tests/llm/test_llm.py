@@ -434,19 +434,6 @@ def test_passages_whose_parts_occur_earlier(spark):
     assert len(whole) == 40 and (whole.matched_words == 114).all()
 
 
-def test_passages_whose_parts_occur_before_and_between(spark):
-    rng, rows = random.Random(9), []
-    fill = lambda tag, n: [f"{tag}{rng.randrange(10**6)}" for _ in range(n)]
-    for i in range(30):
-        passage = fill(f"p{i}", 114)
-        part = lambda j: " ".join(fill("x", 30) + passage[38 * j : 38 * j + 38] + fill("y", 30))  # noqa: B023, E731
-        whole = lambda: " ".join(fill("x", 50) + passage + fill("y", 50))  # noqa: B023, E731
-        rows += [(10 * i + k, whole() if k in (3, 7) else part(k % 4)) for k in range(8)]
-    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
-    found = got[(got.doc_id % 10 == 7) & (got.other_id == got.doc_id - 4) & (got.start == 50) & (got.end == 164)]
-    assert len(found) == 30 and (found.matched_words == 114).all()
-
-
 def test_chains_are_ordered_and_best_first():
     c = passages.Passages()
     found = passages.chains([[0, 0, 10, 10], [12, 500, 20, 508], [15, 14, 30, 29], [40, 45, 60, 65]], c)
