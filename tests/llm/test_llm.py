@@ -393,6 +393,18 @@ def test_url_model_on_held_out_hosts():
     assert hit / told > 0.85 and hit / real > 0.8
 
 
+def test_url_model_on_held_out_words():
+    c, hit, told, real = url_filter.UrlFilter(), 0, 0, 0
+    for f in range(5):
+        keep, out = (lambda words: [w for i, w in enumerate(words) if i % 5 != f]), (lambda words: [w for i, w in enumerate(words) if i % 5 == f])
+        w = url_filter.fit([(*url_parts(u), y) for u, y in url_filter.labelled_urls(keep(url_filter.UNWANTED), keep(url_filter.WANTED))], c)
+        for u, y in url_filter.labelled_urls(out(url_filter.UNWANTED), out(url_filter.WANTED), 0):
+            g = url_filter._grams(*url_parts(u), c)
+            said = w[g].sum() / math.sqrt(len(g)) + w[-1] > 0
+            hit, told, real = hit + (said and y), told + said, real + y
+    assert hit / told > 0.5 and hit / real > 0.15
+
+
 def test_url_table_holds_no_host_of_pages(sf):
     known = {".".join(url_parts(u)[0].split(".")[-3:]) for u, y in url_filter.labelled_urls() if y}
     pages = pd.read_parquet(f"{sf.replace('sf0.001', 'sf0.1')}/pages.parquet").url
