@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.windows import series
+from .blocks import BLOCK, over_windows
 from .recursive import scan
 
 
@@ -62,21 +63,16 @@ def garch(df: DataFrame, asymmetric: bool = False) -> DataFrame:
     return scan(df, make, ["garch_vol", "garch_alpha", "garch_beta", "garch_gamma", "garch_forecast"])
 
 
-def rolling_pca(df: DataFrame, features: list[str], n: int = 100, components: int = 3) -> DataFrame:
+def rolling_pca(df: DataFrame, features: list[str], n: int = 100, components: int = 3, block: int = BLOCK) -> DataFrame:
     """Components of the current row in the directions of the n rows before, and their share of variance.
 
     Each window stands for itself: features are standardised in it, and a direction's largest loading is positive, so
-    results do not depend on where a series starts.
+    results do not depend on where a series starts, and blocks of rows are tasks of their own. Unknown features are 0.
     """
-    import pyarrow as pa
-
     made = [f"pca_component_{i + 1}" for i in range(components)] + [f"pca_exp_var_ratio_{i + 1}" for i in range(components)]
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + "".join(f", {c} double" for c in made)
 
-    def run(table):
-        table = table.sort_by("ts")
-        x = np.column_stack([table.column(f).to_numpy(zero_copy_only=False).astype(float) for f in features])
-        x = np.nan_to_num(x)
+    def make(d):
+        x = np.nan_to_num(np.column_stack([d[f] for f in features]))
         out = np.full((len(x), 2 * components), np.nan)
         for i in range(n, len(x)):
             window = x[i - n : i]
@@ -87,11 +83,9 @@ def rolling_pca(df: DataFrame, features: list[str], n: int = 100, components: in
             v = vectors[:, order] * np.sign(vectors[np.abs(vectors[:, order]).argmax(0), order])
             out[i, : len(order)] = (x[i] - mean) / sd @ v
             out[i, components : components + len(order)] = values[order] / max(values.sum(), 1e-12)
-        for j, c in enumerate(made):
-            table = table.append_column(c, pa.array(out[:, j], pa.float64(), from_pandas=True))
-        return table
+        return dict(zip(made, out.T, strict=True))
 
-    return df.groupBy("symbol").applyInArrow(run, shape)
+    return over_windows(df, make, made, n, tuple(features), block, ())
 
 
 def box_cox(df: DataFrame, x: str, grid: int = 41) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ranges import running_sums
+
 ROOT = math.sqrt(252)
 
 
@@ -77,12 +79,12 @@ def summary(df: DataFrame, x: str, by: list[str]) -> DataFrame:
 
 
 def ks_statistic(a: DataFrame, b: DataFrame, x: str) -> DataFrame:
-    """Largest distance of two empirical distributions: running shares over the union's distinct values."""
+    """Largest distance of two empirical distributions: running shares over ranges of the union's distinct
+    values."""
     both = a.select(F.col(x).alias("v"), F.lit(1).alias("l"), F.lit(0).alias("r")).union(b.select(F.col(x).alias("v"), F.lit(0).alias("l"), F.lit(1).alias("r")))
     steps = both.where("v is not null").groupBy("v").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    line = W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    rows = steps.select(F.sum("l").over(line).alias("a"), F.sum("r").over(line).alias("b"), F.sum("l").over(W.partitionBy()).alias("n"), F.sum("r").over(W.partitionBy()).alias("m"))
-    return rows.agg(F.max(F.abs(_ratio(F.col("a"), F.col("n")) - _ratio(F.col("b"), F.col("m")))).alias("ks"))
+    rows = running_sums(steps, "v", ["l", "r"])
+    return rows.agg(F.max(F.abs(_ratio(F.col("l_so_far"), F.col("l_total")) - _ratio(F.col("r_so_far"), F.col("r_total")))).alias("ks"))
 
 
 def out_of_distribution(df: DataFrame, by: list[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Recursive indicators and transforms: scans along each symbol's series in Arrow groups, one task per symbol."""
+"""Recursions that no block can summarise, as scans along each symbol's series in one Arrow group; sums of lagged rows."""
 
 from __future__ import annotations
 
@@ -35,63 +35,10 @@ def ema(x: np.ndarray, alpha: float) -> np.ndarray:
     return out
 
 
-def wilder(x: np.ndarray, n: int) -> np.ndarray:
-    """Wilder's mean: the mean of the first n known values, then (n - 1 parts before + the value) / n."""
-    out = np.full(len(x), np.nan)
-    known = np.flatnonzero(~np.isnan(x))
-    if len(known) < n:
-        return out
-    last = x[known[:n]].mean()
-    out[known[n - 1]] = last
-    for i in range(known[n - 1] + 1, len(x)):
-        last = (last * (n - 1) + x[i]) / n
-        out[i] = last
-    return out
-
-
-def _range(d: dict) -> np.ndarray:
-    before = np.r_[np.nan, d["close"][:-1]]
-    return np.where(np.isnan(before), np.nan, np.fmax.reduce([d["high"] - d["low"], abs(d["high"] - before), abs(d["low"] - before)]))
-
-
 def _over(a, b):
     return np.divide(a, b, out=np.full(len(a), np.nan), where=(b != 0) & ~np.isnan(b))
 
 
-def moving_averages(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """ema_fast, ema_slow, macd, macd_signal, macd_diff, ppo, trix, tsi."""
-
-    def make(d):
-        c = d["close"]
-        a, b = ema(c, 2 / (fast + 1)), ema(c, 2 / (slow + 1))
-        m = a - b
-        s = ema(m, 2 / (signal + 1))
-        three = ema(ema(ema(c, 2 / 16), 2 / 16), 2 / 16)
-        step = np.r_[np.nan, np.diff(c)]
-        twice = lambda x: ema(ema(x, 2 / 26), 2 / 14)
-        return {"ema_fast": a, "ema_slow": b, "macd": m, "macd_signal": s, "macd_diff": m - s, "ppo": 100 * _over(m, b), "trix": 100 * (_over(three, np.r_[np.nan, three[:-1]]) - 1), "tsi": 100 * _over(twice(step), twice(abs(step)))}
-
-    return scan(df, make, ["ema_fast", "ema_slow", "macd", "macd_signal", "macd_diff", "ppo", "trix", "tsi"])
-
-
-def wilder_indicators(df: DataFrame, n: int = 14) -> DataFrame:
-    """atr, rsi, dm_plus, dm_minus, di_plus, di_minus, dx, adx."""
-
-    def make(d):
-        step = np.r_[np.nan, np.diff(d["close"])]
-        up, down = np.r_[np.nan, np.diff(d["high"])], np.r_[np.nan, -np.diff(d["low"])]
-        gain, loss = wilder(np.fmax(step, 0) + step * 0, n), wilder(np.fmax(-step, 0) + step * 0, n)
-        atr = wilder(_range(d), n)
-        p = wilder(np.where(np.isnan(up), np.nan, np.where((up > down) & (up > 0), up, 0)), n)
-        m = wilder(np.where(np.isnan(up), np.nan, np.where((down > up) & (down > 0), down, 0)), n)
-        plus, minus = 100 * _over(p, atr), 100 * _over(m, atr)
-        dx = 100 * _over(abs(plus - minus), plus + minus)
-        rsi = np.where(loss == 0, 100.0, 100 - 100 / (1 + _over(gain, loss)))
-        return {"atr": atr, "rsi": np.where(np.isnan(gain), np.nan, rsi), "dm_plus": p, "dm_minus": m, "di_plus": plus, "di_minus": minus, "dx": dx, "adx": wilder(dx, n)}
-
-    return scan(df, make, ["atr", "rsi", "dm_plus", "dm_minus", "di_plus", "di_minus", "dx", "adx"])
-
-
 def adaptive_averages(df: DataFrame, n: int = 10) -> DataFrame:
     """kama, vidya, zlema, fisher, psar, kvo, chaikin, mass."""
 
@@ -145,21 +92,6 @@ def adaptive_averages(df: DataFrame, n: int = 10) -> DataFrame:
     return scan(df, make, ["kama", "vidya", "zlema", "fisher", "psar", "kvo", "chaikin", "mass"])
 
 
-def garch_filter(df: DataFrame, omega: float = 1e-3, alpha: float = 0.08, beta: float = 0.9) -> DataFrame:
-    """Conditional variance of log returns with given parameters: h = omega + alpha r^2 + beta h before."""
-
-    def make(d):
-        r = np.r_[0.0, np.diff(np.log(np.maximum(d["close"], 1e-12)))]
-        out = np.empty(len(r))
-        last = r.var() if len(r) else 0.0
-        for i, v in enumerate(r):
-            out[i] = last
-            last = omega + alpha * v * v + beta * last
-        return {"garch_var": out}
-
-    return scan(df, make, ["garch_var"])
-
-
 def frac_diff(df: DataFrame, x: str, d: float = 0.4, lags: int = 50, sign: int = 1) -> DataFrame:
     """Fractional difference with ``lags`` weights w_k = sign * w_(k-1) * (d - k + 1) / k, as sums over one window frame;
     sign -1 is the published filter, 1 the literal recursion. Null until all lags are known."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ranges import bin_of, numbered, same_keys
 from ..functions.windows import rows
 
 
@@ -55,11 +56,17 @@ def kmeans_regimes(df: DataFrame, features: list[str], k: int = 4, seed: int = 4
 
 
 def mutual_information(df: DataFrame, features: list[str], target: str, bins: int = 5) -> DataFrame:
-    """Mutual information of equally filled bins of each feature and of the target: counts of a long table, one shuffle."""
-    w = lambda c: W.orderBy(c, "row_id")
-    binned = df.select("row_id", *[F.ntile(bins).over(w(c)).alias(c) for c in (*features, target)])
-    long = binned.select(F.col(target).alias("t"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("b")) for f in features])).alias("x")).select("t", "x.*")
-    joint = long.groupBy("feature", "b", "t").agg(F.count("*").alias("n"))
+    """Mutual information of equally filled bins of each feature and of the target, ties in the order of row_id.
+
+    A long table of all columns is sorted once by ranges, so bins are places in it and no task holds a whole column; row_id
+    and, if there is one, symbol tell rows apart.
+    """
+    keys = [c for c in ("symbol", "row_id") if c in df.columns]
+    kinds = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in dict.fromkeys((*features, target))]
+    long = df.select(*keys, F.explode(F.array(*kinds)).alias("x")).select(*keys, "x.*")
+    binned = numbered(long, ["feature"], ["v", *reversed(keys)], "n", "rows").select(*keys, "feature", bin_of(F.col("n"), F.col("rows"), bins).alias("b"))
+    of_target = binned.where(F.col("feature") == target).select(*keys, F.col("b").alias("t"))
+    joint = same_keys(binned.where(F.col("feature").isin(features)), of_target, keys).groupBy("feature", "b", "t").agg(F.count("*").alias("n"))
     p = lambda *c: F.sum("n").over(W.partitionBy("feature", *c))
     terms = joint.select("feature", (F.col("n") / p() * F.ln(F.col("n") * p() / (p("b") * p("t")))).alias("term"))
     return terms.groupBy("feature").agg(F.sum("term").alias("mi"))

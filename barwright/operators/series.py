@@ -1,17 +1,18 @@
-"""Models and transforms of whole series, one Arrow group per symbol: spectra, wavelets, change points, hidden states."""
+"""Rolling spectra by blocks of rows, and models of whole series, one Arrow group per symbol: wavelets, change points, hidden states."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
 
+from .blocks import BLOCK, over_windows
 from .recursive import scan
 
 #: Low-pass taps of the Daubechies wavelet with four vanishing moments.
 DB4 = (0.23037781330885523, 0.7148465705525415, 0.6308807679295904, -0.02798376941698385, -0.18703481171888114, 0.030841381835986965, 0.032883011666982945, -0.010597401784997278)
 
 
-def spectrum(df: DataFrame, n: int = 100) -> DataFrame:
+def spectrum(df: DataFrame, n: int = 100, block: int = BLOCK) -> DataFrame:
     """Over the n rows before each row: spectral_entropy (null before), dominant_freq and dominant_power (0 before)."""
 
     def make(d):
@@ -27,7 +28,7 @@ def spectrum(df: DataFrame, n: int = 100) -> DataFrame:
             out["dominant_power"][n:] = amp[np.arange(len(amp)), peak]
         return out
 
-    return scan(df, make, ["spectral_entropy", "dominant_freq", "dominant_power"])
+    return over_windows(df, make, ["spectral_entropy", "dominant_freq", "dominant_power"], n, ("close",), block)
 
 
 def wavelet(df: DataFrame, levels: int = 5) -> DataFrame:

@@ -9,7 +9,7 @@ from ..operators import assembly as a
 from ..operators import crossasset as x
 from ..operators import loss as lo
 from ..operators import metrics as m
-from ..operators import recursive as rc
+from ..operators import blocks as bk
 from ..operators import selection as sel
 from ..operators import validation as v
 from ..sources.bars import order_bars, quantity_bars, ship_bars
@@ -271,7 +271,7 @@ SQL["transformations"] = (
     f"JOIN (WITH {ORDER_BARS} SELECT symbol, ts, round(ln(close), 6) AS log_close FROM b0 WHERE close > 0) USING (symbol, ts)"
 )
 Q["adaptive_average"] = lambda spark, sf: rounded(
-    a.adaptive_average(rc.wilder_indicators(order_bars(spark, sf)).withColumn("atr", F.round("atr", 4))), ["adaptive_timeframe", "adaptive_sma"], 7
+    a.adaptive_average(bk.wilder_indicators(order_bars(spark, sf)).withColumn("atr", F.round("atr", 4))), ["adaptive_timeframe", "adaptive_sma"], 7
 )
 RANK = "(len(list_filter(va, lambda z: z < sh)) + (len(list_filter(va, lambda z: z = sh)) + 1) / 2) / len(va)"
 SQL["adaptive_average"] = (
@@ -280,7 +280,7 @@ SQL["adaptive_average"] = (
     f"(SELECT symbol, ts, sh, row_number() {SERIES} AS i, list(close) {last(50)} AS vc, list_filter(list(sh) {last(50)}, lambda z: z IS NOT NULL) AS va, count(sh) {last(50)} AS ns FROM "
     f"(SELECT symbol, ts, close, round(atr / nullif(close, 0), 12) AS sh FROM (WITH {ORDER_BARS} SELECT symbol, ts, close FROM b0) JOIN ({PART['wilder_indicators']}) USING (symbol, ts))))"
 )
-Q["vol_of_vol"] = lambda spark, sf: rounded(a.vol_of_vol(rc.garch_filter(order_bars(spark, sf)).withColumn("garch_var", F.round("garch_var", 6))), ["vol_of_vol"], 4)
+Q["vol_of_vol"] = lambda spark, sf: rounded(a.vol_of_vol(bk.garch_filter(order_bars(spark, sf)).withColumn("garch_var", F.round("garch_var", 6))), ["vol_of_vol"], 4)
 SQL["vol_of_vol"] = (
     f"SELECT symbol, ts, round(CASE WHEN count(v) {last(20)} = 20 THEN stddev_samp(v) {last(20)} END, 4) AS vol_of_vol FROM (SELECT *, sqrt(garch_var) AS v FROM ({PART['garch_filter']}))"
 )

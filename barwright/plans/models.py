@@ -8,6 +8,7 @@ from ..functions.windows import rounded
 from ..operators import fits as ft
 from ..operators import indicators as ti
 from ..operators import loss as lo
+from ..operators import blocks as bk
 from ..operators import recursive as rc
 from ..operators import regimes as rg
 from ..operators import series as sr
@@ -90,7 +91,7 @@ def recursive(step: str, first: str, extra: str = "") -> str:
     return f"WITH RECURSIVE {ORDER_BARS}, o AS (SELECT *, row_number() {SERIES} AS n, {lag('close')} AS pc{extra} FROM b0), z AS (SELECT symbol, ts, n, {first} FROM o WHERE n = 1 UNION ALL SELECT o.symbol, o.ts, o.n, {step} FROM z JOIN o ON o.symbol = z.symbol AND o.n = z.n + 1)"
 
 
-bar("moving_averages", rc.moving_averages, None, dict.fromkeys(["ema_fast", "ema_slow", "macd", "macd_signal", "macd_diff", "ppo", "trix", "tsi"]), 4)
+bar("moving_averages", lambda d: bk.moving_averages(d, block=500), None, dict.fromkeys(["ema_fast", "ema_slow", "macd", "macd_signal", "macd_diff", "ppo", "trix", "tsi"]), 4)
 E = lambda c, x, n: f"z.{c} + 2.0 / ({n} + 1) * ({x} - z.{c})"
 A, B = E("a", "o.close", 12), E("b", "o.close", 26)
 T1 = E("t1", "o.close", 15)
@@ -100,7 +101,7 @@ W25 = lambda c, x: f"CASE WHEN z.{c} IS NULL THEN {x} ELSE {E(c, x, 25)} END"  #
 D1, D2 = W25("d1", "(o.close - o.pc)"), W25("e1", "abs(o.close - o.pc)")
 W13 = lambda c, x: f"CASE WHEN z.{c} IS NULL THEN ({x}) ELSE {E(c, f'({x})', 13)} END"
 SQL["moving_averages"] = recursive(f"{A}, {B}, {E('g', f'(({A}) - ({B}))', 9)}, {T1}, {T2}, {T3}, z.t3, {D1}, {D2}, {W13('d2', D1)}, {W13('e2', D2)}", "close AS a, close AS b, 0.0::DOUBLE AS g, close AS t1, close AS t2, close AS t3, NULL::DOUBLE AS p3, NULL::DOUBLE AS d1, NULL::DOUBLE AS e1, NULL::DOUBLE AS d2, NULL::DOUBLE AS e2") + " SELECT symbol, ts, round(a, 4) AS ema_fast, round(b, 4) AS ema_slow, round(a - b, 4) AS macd, round(g, 4) AS macd_signal, round(a - b - g, 4) AS macd_diff, round(100 * (a - b) / nullif(b, 0), 4) AS ppo, round(100 * (t3 / nullif(p3, 0) - 1), 4) AS trix, round(100 * d2 / nullif(e2, 0), 4) AS tsi FROM z"
-bar("wilder_indicators", rc.wilder_indicators, None, dict.fromkeys(["atr", "rsi", "dm_plus", "dm_minus", "di_plus", "di_minus", "dx", "adx"]), 4)
+bar("wilder_indicators", lambda d: bk.wilder_indicators(d, block=500), None, dict.fromkeys(["atr", "rsi", "dm_plus", "dm_minus", "di_plus", "di_minus", "dx", "adx"]), 4)
 SRC = f", greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')})) AS tr, greatest(close - {lag('close')}, 0) AS gn, greatest({lag('close')} - close, 0) AS ls, high - {lag('high')} AS u, {lag('low')} - low AS w"
 X = {"tr": "o.tr", "gn": "o.gn", "ls": "o.ls", "p": "CASE WHEN o.u > o.w AND o.u > 0 THEN o.u ELSE 0 END", "m": "CASE WHEN o.w > o.u AND o.w > 0 THEN o.w ELSE 0 END"}
 # Sums of the first 14 known values become their mean on row 15; later rows smooth.
@@ -109,7 +110,7 @@ pc = lambda e: f"(100 * ({e}) / nullif({WS('tr')}, 0))"
 DX = f"(100 * abs({pc(WS('p'))} - {pc(WS('m'))}) / nullif({pc(WS('p'))} + {pc(WS('m'))}, 0))"
 SQL["wilder_indicators"] = recursive(f"{WS('tr')}, {WS('gn')}, {WS('ls')}, {WS('p')}, {WS('m')}, CASE WHEN o.n < 15 THEN 0 WHEN o.n <= 28 THEN (z.ax + {DX}) / CASE WHEN o.n = 28 THEN 14 ELSE 1 END ELSE (z.ax * 13 + {DX}) / 14 END", "0.0::DOUBLE AS tr, 0.0::DOUBLE AS gn, 0.0::DOUBLE AS ls, 0.0::DOUBLE AS p, 0.0::DOUBLE AS m, 0.0::DOUBLE AS ax", SRC) + " SELECT symbol, ts, round(CASE WHEN n >= 15 THEN tr END, 4) AS atr, round(CASE WHEN n >= 15 THEN CASE WHEN ls = 0 THEN 100 ELSE 100 - 100 / (1 + gn / nullif(ls, 0)) END END, 4) AS rsi, round(CASE WHEN n >= 15 THEN p END, 4) AS dm_plus, round(CASE WHEN n >= 15 THEN m END, 4) AS dm_minus, round(CASE WHEN n >= 15 THEN 100 * p / nullif(tr, 0) END, 4) AS di_plus, round(CASE WHEN n >= 15 THEN 100 * m / nullif(tr, 0) END, 4) AS di_minus, round(CASE WHEN n >= 15 THEN 100 * abs(100 * p / nullif(tr, 0) - 100 * m / nullif(tr, 0)) / nullif(100 * p / nullif(tr, 0) + 100 * m / nullif(tr, 0), 0) END, 4) AS dx, round(CASE WHEN n >= 28 THEN ax END, 4) AS adx FROM z"
 bar("adaptive_averages", rc.adaptive_averages, None, dict.fromkeys(["kama", "vidya", "zlema", "fisher", "psar", "kvo", "chaikin", "mass"]), 4)
-bar("garch_filter", rc.garch_filter, None, {"garch_var": None})
+bar("garch_filter", lambda d: bk.garch_filter(d, block=500), None, {"garch_var": None})
 SQL["garch_filter"] = recursive("1e-3 + 0.08 * power(z.r, 2) + 0.9 * z.h, ln(o.close / o.pc)", "(SELECT var_pop(q) FROM (SELECT coalesce(ln(close / pc), 0) AS q FROM o)) AS h, 0.0::DOUBLE AS r") + " SELECT symbol, ts, round(h, 6) AS garch_var FROM z"
 WEIGHTS = [1.0]
 for _k in range(1, 50):
@@ -138,7 +139,7 @@ b2 AS (SELECT *, stddev_pop(r) OVER (PARTITION BY symbol ORDER BY l_shipdate, l_
 b3 AS (SELECT *, CASE WHEN count(v) OVER w = 20 THEN avg(v) OVER w END AS m FROM b2 WINDOW w AS (PARTITION BY symbol ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
 SELECT symbol, l_shipdate AS ts, l_orderkey AS order_key, l_linenumber::BIGINT AS line, l_partkey AS part_key, round(returns, 6) AS returns, round(v, 6) AS rolling_vol_20, round((v - m) / nullif(m, 0), 6) AS vol_deviation FROM b3"""
 
-bar("spectrum", sr.spectrum, None, dict.fromkeys(["spectral_entropy", "dominant_freq", "dominant_power"]), 4)
+bar("spectrum", lambda d: sr.spectrum(d, block=500), None, dict.fromkeys(["spectral_entropy", "dominant_freq", "dominant_power"]), 4)
 bar("wavelet_energy", sr.wavelet, None, dict.fromkeys([f"wavelet_energy_level_{i}" for i in range(1, 6)]))
 bar("change_points", sr.change_points, None, {"is_change": None})
 bar("hidden_states", sr.hidden_states, None, {"regime_hmm": None})
@@ -147,7 +148,7 @@ as_trials = lambda d: d.groupBy(F.col("batch_id").alias("trial_id")).agg(F.round
 add("trial_meta", lambda d: tn.meta_knowledge(as_trials(d)), "SELECT param, round(corr(a, b), 6) AS correlation, round(min(x) FILTER (k <= ceil(n * 0.1)), 6) AS best_min, round(max(x) FILTER (k <= ceil(n * 0.1)), 6) AS best_max, round(quantile_cont(x, 0.5) FILTER (k <= ceil(n * 0.1)), 6) AS best_median FROM (SELECT *, rank() OVER (PARTITION BY param ORDER BY x) + (count(*) OVER (PARTITION BY param, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY param ORDER BY value) + (count(*) OVER (PARTITION BY param, value) - 1) / 2.0 AS b, row_number() OVER (PARTITION BY param ORDER BY value DESC, trial_id) AS k, count(*) OVER (PARTITION BY param) AS n FROM tp) GROUP BY param", 6, ", tp AS (SELECT * FROM (SELECT batch_id AS trial_id, round(avg(y), 8) AS value, round(avg(vol), 8) AS vol, round(avg(mom), 8) AS mom FROM s GROUP BY batch_id) UNPIVOT (x FOR param IN (vol, mom)))")
 
 bar("garch_fit", ft.garch, None, dict.fromkeys(["garch_vol", "garch_alpha", "garch_beta", "garch_forecast"]))
-bar("rolling_pca", lambda d: ft.rolling_pca(d, ["open", "high", "low", "close", "volume"]), None, dict.fromkeys(["pca_component_1", "pca_component_2", "pca_exp_var_ratio_1", "pca_exp_var_ratio_2"]), 4)
+bar("rolling_pca", lambda d: ft.rolling_pca(d, ["open", "high", "low", "close", "volume"], block=500), None, dict.fromkeys(["pca_component_1", "pca_component_2", "pca_exp_var_ratio_1", "pca_exp_var_ratio_2"]), 4)
 bar("box_cox", lambda d: ft.box_cox(d, "close"), None, {"box_cox_lambda": None, "box_cox_close": None}, 4)
 Q["kpss_statistic"] = lambda spark, sf: tidy(ft.kpss(order_bars(spark, sf)), 6)
 SQL["kpss_statistic"] = f"WITH {ORDER_BARS}, e AS (SELECT *, close - avg(close) OVER (PARTITION BY symbol) AS e FROM b0), q AS (SELECT *, sum(e) OVER (PARTITION BY symbol ORDER BY ts) AS s, " + ", ".join(f"lag(e, {k}) {SERIES} AS l{k}" for k in range(1, 11)) + " FROM e) SELECT symbol, round((sum(s * s) / (count(*) * count(*))) / (sum(e * e) / count(*) + " + " + ".join(f"2 * (1 - {k} / 11.0) * sum(e * l{k}) / count(*)" for k in range(1, 11)) + "), 6) AS kpss_stat FROM q GROUP BY symbol"

@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from barwright.operators import loss, recursive, regimes, validation, volatility
+from barwright.operators import blocks, loss, recursive, regimes, validation, volatility
 from barwright.sources.bars import OhlcvColumns, canonical
 
 
@@ -29,7 +29,7 @@ def test_rolling_volatility_matches_pandas(bars):
 
 
 def test_ema_matches_pandas(bars):
-    out = recursive.moving_averages(bars).orderBy("ts").toPandas()
+    out = blocks.moving_averages(bars).orderBy("ts").toPandas()
     assert np.allclose(out.ema_fast, out.close.ewm(span=12, adjust=False).mean())
 
 
