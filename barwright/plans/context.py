@@ -5,8 +5,9 @@ from __future__ import annotations
 from ..functions.windows import rounded
 from ..operators import calendar as c
 from ..operators import crossasset as x
+from ..operators import unitroot as u
 from ..sources.bars import event_bars, order_bars, ship_bars
-from .sqltext import EVENT_BARS, ORDER_BARS, SERIES, SHIP_BARS, SO_FAR, bars_sql, lag, last, roll
+from .sqltext import adf_p_sql, EVENT_BARS, ORDER_BARS, SERIES, SHIP_BARS, SO_FAR, bars_sql, lag, last, roll
 
 Q, SQL = {}, {}
 
@@ -51,6 +52,17 @@ H1 = {"y": "CASE WHEN close > 0 THEN ln(close) END", "z": "CASE WHEN ref_close >
 F1 = last(120, 1)
 H2 = {"full_": f"count(CASE WHEN y IS NOT NULL AND z IS NOT NULL THEN 1 END) {F1} = 120", "be": f"regr_slope(y, z) {F1}", "al": f"regr_intercept(y, z) {F1}", "r2": f"regr_r2(y, z) {F1}", "vy": f"var_pop(y) {F1}", "ly": lag("y"), "lz": lag("z")}
 cross("hedge_ratio", x.hedge, [H1, H2], {"hedge_ratio": "CASE WHEN full_ THEN be END", "spread_zscore": "CASE WHEN full_ THEN (ly - (al + be * lz)) / nullif(sqrt(greatest((1 - r2) * vy, 0)), 0) END"}, digits=5)
+Q["cointegration"] = lambda spark, sf: rounded(u.cointegration(x.align(order_bars(spark, sf), ship_bars(spark, sf)), block=500), ["coint_stat", "coint_pvalue"], 4)
+# The window's rows one by one: spread, its changes, then sums of both regressions.
+_LISTS = bars_sql(ORDER_BARS, [J1, J2, H1, {"full_": H2["full_"], "be": H2["be"]}], {"be": "=CASE WHEN full_ THEN be END", "ys": f"=list(y) {F1}", "zs": f"=list(z) {F1}"}, more=SHIP_BARS)
+_SUMS = ", ".join(f"{f} FILTER (i >= {k}) * {121 - k} AS {n}" for k, n, f in ((2, "a", "covar_pop(d, el)"), (2, "b", "var_pop(el)"), (2, "c", "var_pop(d)"), (3, "ud", "covar_pop(d, el)"), (3, "uu", "var_pop(el)"), (3, "dd", "var_pop(d)"), (3, "ww", "var_pop(dl)"), (3, "uw", "covar_pop(dl, el)"), (3, "wd", "covar_pop(dl, d)")))
+COINT = f"""WITH w AS ({_LISTS}), e AS (SELECT symbol, ts, i, y - be * z AS e FROM (SELECT symbol, ts, be, unnest(ys) AS y, unnest(zs) AS z, unnest(range(1, 121)) AS i FROM w WHERE be IS NOT NULL)),
+f AS (SELECT symbol, ts, i, e - lag(e) OVER v AS d, lag(e) OVER v AS el, lag(e) OVER v - lag(e, 2) OVER v AS dl FROM e WINDOW v AS (PARTITION BY symbol, ts ORDER BY i)),
+g AS (SELECT symbol, ts, {_SUMS} FROM f GROUP BY symbol, ts),
+h AS (SELECT *, dd - ud * ud / uu AS s0, dd - (ud * ww - wd * uw) / (uu * ww - uw * uw) * ud - (wd * uu - ud * uw) / (uu * ww - uw * uw) * wd AS s1 FROM g),
+t AS (SELECT symbol, ts, CASE WHEN 118 * ln(s1) + 2 < 118 * ln(s0) THEN (ud * ww - wd * uw) / (uu * ww - uw * uw) / sqrt(s1 / 115 * ww / (uu * ww - uw * uw)) ELSE a / b / sqrt((c - a * a / b) / 117 / b) END AS st FROM h)
+SELECT w.symbol, w.ts, round(st, 4) AS coint_stat, round({adf_p_sql('st')}, 4) AS coint_pvalue FROM w LEFT JOIN t USING (symbol, ts)"""
+SQL["cointegration"] = COINT
 M1 = {"i": f"row_number() {SERIES} - 1", "dy": "least(greatest((year(ts) - 2000) * 2 + 230, 230), 252)", "n": "count(*) OVER (PARTITION BY symbol)"}
 M2 = {"ir": "sin(2 * pi() * i / dy / 5) * 2 + 3", "yc": "sin(2 * pi() * i / dy / 3)"}
 M3 = {"bk": f"round(coalesce({lag('ir', 10)}, (SELECT q.ir FROM b2 q WHERE q.symbol = b2.symbol AND q.i = b2.i + b2.n - 10)), 10)"}

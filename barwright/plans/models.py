@@ -13,10 +13,11 @@ from ..operators import recursive as rc
 from ..operators import regimes as rg
 from ..operators import series as sr
 from ..operators import tuning as tn
+from ..operators import unitroot as ur
 from ..operators import volatility as vo
 from ..sources.bars import order_bars, tick_panel
 from ..sources.samples import samples
-from .sqltext import ORDER_BARS, SERIES, bars_sql, lag, last
+from .sqltext import adf_p_sql, ORDER_BARS, SERIES, bars_sql, lag, last
 from .validation import SAMPLES, tidy
 
 Q, SQL = {}, {}
@@ -152,3 +153,9 @@ bar("rolling_pca", lambda d: ft.rolling_pca(d, ["open", "high", "low", "close",
 bar("box_cox", lambda d: ft.box_cox(d, "close"), None, {"box_cox_lambda": None, "box_cox_close": None}, 4)
 Q["kpss_statistic"] = lambda spark, sf: tidy(ft.kpss(order_bars(spark, sf)), 6)
 SQL["kpss_statistic"] = f"WITH {ORDER_BARS}, e AS (SELECT *, close - avg(close) OVER (PARTITION BY symbol) AS e FROM b0), q AS (SELECT *, sum(e) OVER (PARTITION BY symbol ORDER BY ts) AS s, " + ", ".join(f"lag(e, {k}) {SERIES} AS l{k}" for k in range(1, 11)) + " FROM e) SELECT symbol, round((sum(s * s) / (count(*) * count(*))) / (sum(e * e) / count(*) + " + " + ".join(f"2 * (1 - {k} / 11.0) * sum(e * l{k}) / count(*)" for k in range(1, 11)) + "), 6) AS kpss_stat FROM q GROUP BY symbol"
+
+Q["stationarity"] = lambda spark, sf: ur.stationarity(order_bars(spark, sf)).select("symbol", *[F.round(c, 4).alias(c) for c in ("adf_stat", "adf_p", "kpss_stat", "kpss_p")], *[F.col(c).cast("int").alias(c) for c in ("adf_stationary", "kpss_stationary", "conflict")])
+_AT = list(zip(ur.KPSS_AT, ur.KPSS_P, strict=True))
+_BETWEEN = " ".join(f"WHEN k <= {b} THEN {p} + (k - {a}) / ({b} - {a}) * ({q} - {p})" for (a, p), (b, q) in zip(_AT, _AT[1:], strict=False))
+_BOTH = f"SELECT symbol, adf_stat AS a, kpss_stat AS k FROM ({SQL['adf_statistic'].replace(', 4) AS adf_stat', ', 15) AS adf_stat')}) JOIN ({SQL['kpss_statistic'].replace(', 6) AS kpss_stat', ', 15) AS kpss_stat')}) USING (symbol)"
+SQL["stationarity"] = f"SELECT symbol, round(a, 4) AS adf_stat, round(p, 4) AS adf_p, round(k, 4) AS kpss_stat, round(kp, 4) AS kpss_p, (p < 0.05)::INT AS adf_stationary, (kp >= 0.05)::INT AS kpss_stationary, ((p < 0.05) <> (kp >= 0.05))::INT AS conflict FROM (SELECT *, {adf_p_sql('a')} AS p, CASE WHEN k <= {_AT[0][0]} THEN {_AT[0][1]} {_BETWEEN} ELSE {_AT[-1][1]} END AS kp FROM ({_BOTH}))"
