@@ -36,8 +36,9 @@ def write_token_files(docs: DataFrame, path: str, c: TokenFiles) -> None:
 
     ``part`` numbers the files in that order; ``part_start`` counts the ids of the documents before it in its file.
     Token lists are dictionary encoded (a vocabulary has few values), the ascending columns are delta encoded.
-    Null doc_ids come first; rows with equal doc_ids are ordered by text, null first. A null text is empty, so its
-    list is the end id alone. An empty table gives files without rows.
+    Null doc_ids come first; rows with equal doc_ids are ordered by a hash of the text, so that many of them, and equal
+    rows too, are parted among tasks. A null text is empty, so its list is the end id alone. An empty table gives files
+    without rows.
     """
 
     small_batches(docs.sparkSession)
@@ -56,7 +57,9 @@ def write_token_files(docs: DataFrame, path: str, c: TokenFiles) -> None:
             start += int(ends[-1])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "hash", "place"]
+    rows = rows.withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     flat = {f"parquet.enable.dictionary#{x}": "false" for x in ("part", "doc_id", "part_start", "n_tokens")}
     options = flat | {
         "compression": "zstd",

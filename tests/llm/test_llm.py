@@ -313,6 +313,21 @@ def test_token_files_read_back(spark, sf, docs):
         start += len(ids)
 
 
+def test_token_files_part_a_repeated_id(spark):
+    """One id, null ids and equal rows fill several files, and offsets still run on."""
+    rows = [(7, f"text {i % 90}") for i in range(400)] + [(None, "same")] * 200 + [(i, "w") for i in range(20)]
+    path = new_path(spark, "tokens")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one file
+    try:
+        token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, token_files.TokenFiles(queries.vocabulary("word_bpe_49k.json")))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = token_files.read_token_files(spark, path).toPandas().sort_values("start")
+    assert len(got) == len(rows) and list(got.start) == [0, *got.n_tokens.cumsum()[:-1]]
+    assert got.part[got.doc_id == 7].nunique() > 1 and got.part[got.doc_id.isna()].nunique() > 1
+    assert got.doc_id.isna()[:200].all() and got.doc_id[200:].is_monotonic_increasing and got.part.is_monotonic_increasing
+
+
 def test_line_chunks_match_sql(spark, sf):
     same(spark, sf, queries.op6_line_chunks, line_chunks.sql())
 
