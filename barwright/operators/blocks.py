@@ -181,6 +181,26 @@ def moving_averages(df: DataFrame, fast: int = 12, slow: int = 26, signal: int =
     return _all_rows(df, linear_scan(blocked(df, block, 1), step, 10, finish, columns, block=block), columns, PRICES)
 
 
+def exponential_means(df: DataFrame, means: dict[str, tuple[str, float]], block: int = BLOCK) -> DataFrame:
+    """Adds exponential means: {name: (column, weight of the new value)}. They start with the first row that knows all of the
+    columns; rows that lack one take no part, so the mean goes on over them, and have none."""
+    names = tuple(dict.fromkeys(c for c, _ in means.values()))
+    weights = np.array([w for _, w in means.values()])
+
+    def step(d: Arrays) -> tuple[np.ndarray, np.ndarray]:
+        first, x = (d["n"] == 0)[:, None], np.column_stack([d[c] for c, _ in means.values()])
+        m = np.zeros((*x.shape, len(weights)))
+        i = np.arange(len(weights))
+        m[:, i, i] = np.where(first, 0.0, 1 - weights)
+        return m, np.where(first, x, weights * x)
+
+    def finish(d: Arrays, _: np.ndarray, after: np.ndarray) -> Arrays:
+        return dict(zip(means, after.T, strict=True))
+
+    rows = blocked(df, block, 0, names, names)
+    return _all_rows(df, linear_scan(rows, step, len(weights), finish, list(means), names, block), list(means), names)
+
+
 def _wilder(x: np.ndarray, rank: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Factors and terms of Wilder's mean: rank counts the known values up to each row. The n-th closes their mean; later
     rows smooth, and an unknown value there leaves no mean."""

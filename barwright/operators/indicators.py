@@ -52,10 +52,11 @@ def donchian(df: DataFrame, n: int = 20) -> DataFrame:
 
 
 def keltner(df: DataFrame, n: int = 10) -> DataFrame:
-    """Channel of mean typical price plus and minus the mean range."""
+    """Channel of mean typical price plus and minus the mean range, width, place in it and outside indicators."""
     _, H, L, C, _ = _bar()
     m, r = full(F.avg((H + L + C) / 3), n), full(F.avg(H - L), n)
-    return df.withColumns({"kcc": m, "kch": m + r, "kcl": m - r, "kcw": ratio(2 * r, m) * 100, "kcp": ratio(C - (m - r), 2 * r)})
+    outside = {"kchi": (F.round(C - (m + r), 9) > 0).cast("int"), "kcli": (F.round((m - r) - C, 9) > 0).cast("int")}
+    return df.withColumns({"kcc": m, "kch": m + r, "kcl": m - r, "kcw": ratio(2 * r, m) * 100, "kcp": ratio(C - (m - r), 2 * r), **outside})
 
 
 def stochastic(df: DataFrame, n: int = 14, smooth: int = 3) -> DataFrame:

@@ -24,7 +24,7 @@ TYP = "(high + low + close) / 3"
 add("prices", t.prices, [], {"wcprice": "(high + low + 2 * close) / 4", "typprice": TYP, "tr": TR, "marketfi": "(high - low) / nullif(volume, 0)"}, bars="event")
 add("bollinger", t.bollinger, [{"m": sma("close", 20), "sd": full("stddev_pop(close)", 20)}], {"bbm": "m", "bbh": "m + 2 * sd", "bbl": "m - 2 * sd", "bbw": "4 * sd / nullif(m, 0) * 100", "bbp": "CASE WHEN round(sd, 9) > 0 THEN (close - (m - 2 * sd)) / (4 * sd) END", "bbhi": "#CASE WHEN m IS NOT NULL THEN (round(close - (m + 2 * sd), 9) > 0)::INT END", "bbli": "#CASE WHEN m IS NOT NULL THEN (round((m - 2 * sd) - close, 9) > 0)::INT END"}, digits=4)
 add("donchian", t.donchian, [{"h": hi(20), "l": lo(20), "m": sma("close", 20)}], {"dch": "h", "dcl": "l", "dcm": "(h + l) / 2", "dcw": "(h - l) / nullif(m, 0) * 100", "dcp": "(close - l) / nullif(h - l, 0)"}, bars="event")
-add("keltner", t.keltner, [{"m": full(f"avg({TYP})", 10), "r": full("avg(high - low)", 10)}], {"kcc": "m", "kch": "m + r", "kcl": "m - r", "kcw": "2 * r / nullif(m, 0) * 100", "kcp": "(close - (m - r)) / nullif(2 * r, 0)"}, digits=4)
+add("keltner", t.keltner, [{"m": full(f"avg({TYP})", 10), "r": full("avg(high - low)", 10)}], {"kcc": "m", "kch": "m + r", "kcl": "m - r", "kcw": "2 * r / nullif(m, 0) * 100", "kcp": "(close - (m - r)) / nullif(2 * r, 0)", "kchi": "#round(close - (m + r), 9) > 0", "kcli": "#round((m - r) - close, 9) > 0"}, digits=4)
 add("stochastic", t.stochastic, [{"h": hi(14), "l": lo(14)}, {"k": "(close - l) / nullif(h - l, 0) * 100"}], {"stoch": "k", "stoch_signal": roll("avg(k)", "k", 3), "willr": "(h - close) / nullif(h - l, 0) * -100"})
 add("cci", t.cci, [{"t": TYP}, {"m": sma("t", 20), "a": f"list(t) {last(20)}"}, {"mad": "list_sum(list_transform(a, lambda x: abs(x - m))) / 20"}], {"cci": "CASE WHEN round(mad, 9) > 0 THEN (t - m) / (0.015 * mad) END"}, digits=4)
 add("aroon", t.aroon, [{"i": f"row_number() {SERIES}"}, {"u": full("arg_max(i, {'x': high, 'i': i})", 26), "d": full("arg_min(i, {'x': low, 'i': -i})", 26)}], {"aroon_up": "100 * (25 - (i - u)) / 25.0", "aroon_down": "100 * (25 - (i - d)) / 25.0", "aroon_ind": "100 * (25 - (i - u)) / 25.0 - 100 * (25 - (i - d)) / 25.0"})
