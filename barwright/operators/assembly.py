@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.windows import rank_pct, rolling, rows, series
-from . import calendar, crossasset, recursive, volatility
+from . import calendar, crossasset, recursive, variance, volatility
 from .regimes import rolling_mode, transition_matrix
 
 
@@ -99,17 +99,23 @@ def vol_of_vol(df: DataFrame, n: int = 20) -> DataFrame:
     return df.withColumn("vol_of_vol", rolling(F.stddev_samp("__v"), "__v", n)).drop("__v")
 
 
-def volatility_features(df: DataFrame) -> DataFrame:
-    """All volatility families in one chain of frames over one shuffle by symbol."""
+def volatility_features(df: DataFrame, models: bool = False) -> DataFrame:
+    """All volatility families in one chain of frames over one shuffle by symbol; with ``models`` also the fitted variances."""
     v = volatility
+    if models:
+        df = variance.variance_features(df)
     df = v.vol_seasonality(v.vol_dynamics(v.vol_regime(v.vol_percentile(v.range_volatility(v.ranges(v.rolling_volatility(v.returns(df))))))))
     return v.hurst(v.drawdown(v.tail_risk(df)))
 
 
-def calendar_features(df: DataFrame) -> DataFrame:
-    """Date parts, cycles, effects and holidays."""
+def calendar_features(df: DataFrame, intraday: bool = False, more_holidays: DataFrame | None = None) -> DataFrame:
+    """Date parts, cycles, effects and holidays; with ``intraday`` also times of the session and the volume's rank in its
+    hour. more_holidays: a table with a column ``day``, further days that count as holidays with the days around them."""
     c = calendar
-    return c.holidays(c.effects(c.cyclical(c.parts(df))))
+    df = c.holidays(c.effects(c.cyclical(c.parts(df))))
+    if more_holidays is not None:
+        df = c.more_holidays(df, more_holidays)
+    return c.volume_percentile(c.intraday(df)) if intraday else df
 
 
 def cross_asset_features(df: DataFrame, references: dict[str, DataFrame]) -> DataFrame:
@@ -122,6 +128,17 @@ def cross_asset_features(df: DataFrame, references: dict[str, DataFrame]) -> Dat
     return df
 
 
+def cross_asset_family(df: DataFrame, references: dict[str, DataFrame]) -> DataFrame:
+    """``cross_asset_features`` with betas by volatility, hedge ratio and spread of each reference, named alike, and the
+    target's own macro proxies and market flags."""
+    for asset, reference in references.items():
+        kept = df.columns
+        made = crossasset.hedge(crossasset.conditional_beta(crossasset.correlation_beta(crossasset.relative(crossasset.align(df, reference)))))
+        fresh = [c for c in made.columns if c not in kept]
+        df = made.select(*kept, *[F.col(c).alias(f"{c}_vs_{asset}") for c in fresh])
+    return crossasset.market_flags(crossasset.macro_proxies(df))
+
+
 def transformations(df: DataFrame, target: str = "close") -> DataFrame:
     """The target's logarithm, standard score and fractional difference."""
     df = recursive.frac_diff(volatility.standardized(df, target), target)

@@ -78,3 +78,14 @@ def holidays(df: DataFrame) -> DataFrame:
     df = df.withColumn("__h", F.array_compact(F.concat(of(F.year(F.col("ts"))), of(F.year(F.col("ts")) + 1), of(F.year(F.col("ts")) - 1))))
     flags = {"is_holiday": day, "is_day_before_holiday": F.date_add(day, 1), "is_day_after_holiday": F.date_sub(day, 1)}
     return df.withColumns({n: F.array_contains("__h", d).cast("int") for n, d in flags.items()}).drop("__h")
+
+
+def more_holidays(df: DataFrame, days: DataFrame) -> DataFrame:
+    """Raises the three holiday flags on further days (a column ``day``) and the days around them. Each day and its two
+    neighbours are one row of a semi-join's side, aggregated by day, so repeats and nulls make no difference."""
+    near = F.explode(F.array(*[F.struct(F.date_sub("day", k).alias("__day"), F.lit(k).alias("k")) for k in (-1, 0, 1)]))
+    flags = {"is_holiday": 0, "is_day_before_holiday": 1, "is_day_after_holiday": -1}
+    side = days.select(F.to_date("day").alias("day")).where("day is not null").select(near.alias("x")).groupBy(F.col("x.__day").alias("__day"))
+    side = side.agg(*[F.max((F.col("x.k") == k).cast("int")).alias(f"__{n}") for n, k in flags.items()])
+    df = df.withColumn("__day", F.to_date("ts")).join(side, "__day", "left")
+    return df.withColumns({n: F.greatest(n, F.coalesce(f"__{n}", F.lit(0))) for n in flags}).drop("__day", *[f"__{n}" for n in flags])

@@ -12,7 +12,7 @@ from ..operators import metrics as m
 from ..operators import blocks as bk
 from ..operators import selection as sel
 from ..operators import validation as v
-from ..sources.bars import order_bars, quantity_bars, ship_bars
+from ..sources.bars import event_bars, order_bars, quantity_bars, ship_bars
 from ..sources.samples import samples
 from . import context, indicators, models, validation, volatility
 from .models import FEATURES, TM, named
@@ -259,6 +259,36 @@ SQL["cross_asset_features"] = (
     f"SELECT * FROM {AGAINST('ship', PART['rolling_beta'])} JOIN {AGAINST('freight', PART['rolling_beta'].replace('l_extendedprice', 'l_quantity'))} USING (symbol, ts)"
 )
 
+# The whole family: columns of four queries for each reference, and the target's own.
+_OF = {
+    "rel_strength": [f"rel_strength_{w}" for w in (5, 20, 60)], "rolling_beta": NAMES,
+    "conditional_beta": ["beta_highvol_60", "beta_lowvol_60"], "hedge_ratio": ["hedge_ratio", "spread_zscore"],
+}
+_OWN = {n: [c for c in context.OUT[n]] for n in ("macro_proxies", "market_flags")}
+_ASSETS = {"ship": "l_extendedprice", "freight": "l_quantity"}
+
+
+def _cross_asset_family(spark, sf):
+    d = a.cross_asset_family(order_bars(spark, sf), {"ship": ship_bars(spark, sf), "freight": quantity_bars(spark, sf)})
+    digits = {"rel_strength": 5, "hedge_ratio": 5}
+    wanted = [(f"{c}_vs_{asset}", digits.get(n, 6)) for asset in _ASSETS for n, columns in _OF.items() for c in columns] + [(c, 6) for columns in _OWN.values() for c in columns]
+    kinds = dict(d.dtypes)
+    return d.select("symbol", "ts", *[F.round(F.when(~F.isnan(c), F.col(c)), k).alias(c) if kinds[c] == "double" else F.col(c) for c, k in wanted])
+
+
+def _renamed(name, asset, price):
+    kept = ", ".join(f"{c} AS {c}_vs_{asset}" for c in _OF[name])
+    return f"(SELECT symbol, ts, {kept} FROM ({PART[name].replace('l_extendedprice', price)}))"
+
+
+Q["cross_asset_family"] = _cross_asset_family
+SQL["cross_asset_family"] = "SELECT * FROM " + " JOIN ".join(
+    f"{t} q{i}" + (" USING (symbol, ts)" if i else "") for i, t in enumerate([_renamed(n, x, p) for x, p in _ASSETS.items() for n in _OF] + [f"({PART[n]})" for n in _OWN])
+)
+_PARTS = ["calendar_parts", "calendar_cycles", "calendar_effects", "holidays", "intraday", "volume_percentile"]
+Q["calendar_features_intraday"] = lambda spark, sf: rounded(a.calendar_features(event_bars(spark, sf), intraday=True), [c for n in _PARTS for c in context.OUT[n]])
+SQL["calendar_features_intraday"] = joined(_PARTS).replace(ORDER_BARS, EVENT_BARS)
+
 
 def _transformed(spark, sf):
     d = a.transformations(order_bars(spark, sf))

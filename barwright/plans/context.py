@@ -10,10 +10,13 @@ from ..sources.bars import event_bars, order_bars, ship_bars
 from .sqltext import adf_p_sql, EVENT_BARS, ORDER_BARS, SERIES, SHIP_BARS, SO_FAR, bars_sql, lag, last, roll
 
 Q, SQL = {}, {}
+#: The columns of each query but symbol and ts.
+OUT: dict[str, list[str]] = {}
 
 
 def add(name, make, stages, out, digits=6, bars="order", more=""):
     source, text = (order_bars, ORDER_BARS) if bars == "order" else (event_bars, EVENT_BARS)
+    OUT[name] = list(out)
     Q[name] = lambda spark, sf: rounded(make(source(spark, sf)), list(out), digits)
     SQL[name] = bars_sql(text, stages, out, digits, more)
 

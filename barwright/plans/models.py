@@ -14,6 +14,7 @@ from ..operators import regimes as rg
 from ..operators import series as sr
 from ..operators import tuning as tn
 from ..operators import unitroot as ur
+from ..operators import variance as va
 from ..operators import volatility as vo
 from ..sources.bars import order_bars, tick_panel
 from ..sources.samples import samples
@@ -149,6 +150,8 @@ as_trials = lambda d: d.groupBy(F.col("batch_id").alias("trial_id")).agg(F.round
 add("trial_meta", lambda d: tn.meta_knowledge(as_trials(d)), "SELECT param, round(corr(a, b), 6) AS correlation, round(min(x) FILTER (k <= ceil(n * 0.1)), 6) AS best_min, round(max(x) FILTER (k <= ceil(n * 0.1)), 6) AS best_max, round(quantile_cont(x, 0.5) FILTER (k <= ceil(n * 0.1)), 6) AS best_median FROM (SELECT *, rank() OVER (PARTITION BY param ORDER BY x) + (count(*) OVER (PARTITION BY param, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY param ORDER BY value) + (count(*) OVER (PARTITION BY param, value) - 1) / 2.0 AS b, row_number() OVER (PARTITION BY param ORDER BY value DESC, trial_id) AS k, count(*) OVER (PARTITION BY param) AS n FROM tp) GROUP BY param", 6, ", tp AS (SELECT * FROM (SELECT batch_id AS trial_id, round(avg(y), 8) AS value, round(avg(vol), 8) AS vol, round(avg(mom), 8) AS mom FROM s GROUP BY batch_id) UNPIVOT (x FOR param IN (vol, mom)))")
 
 bar("garch_fit", ft.garch, None, dict.fromkeys(["garch_vol", "garch_alpha", "garch_beta", "garch_forecast"]))
+bar("variance_features", lambda d: va.variance_features(d, block=1001), None, dict.fromkeys(["garch_vol", "garch_alpha", "garch_beta", "garch_forecast", "vol_of_vol", "egarch_vol", "vol_asymmetry"]))
+bar("asymmetric_variance", lambda d: va.variance_model(va.variance_model(d, "gjr", block=1001), "tgarch", block=1001), None, dict.fromkeys([f"{v}_{c}" for v in ("gjr", "tgarch") for c in ("vol", "alpha", "beta", "gamma", "forecast")]))
 bar("rolling_pca", lambda d: ft.rolling_pca(d, ["open", "high", "low", "close", "volume"], block=500), None, dict.fromkeys(["pca_component_1", "pca_component_2", "pca_exp_var_ratio_1", "pca_exp_var_ratio_2"]), 4)
 bar("box_cox", lambda d: ft.box_cox(d, "close"), None, {"box_cox_lambda": None, "box_cox_close": None}, 4)
 Q["kpss_statistic"] = lambda spark, sf: tidy(ft.kpss(order_bars(spark, sf)), 6)

@@ -64,3 +64,32 @@ def test_asymmetry_weights_stay_within_bounds(spark):
     out = rows.withColumn("w", loss.asymmetry(F.col("r"), 0.5, W.partitionBy("b"))).toPandas()
     assert out.w.between(0.1, 10).all()
     assert loss.LossConfig.from_config(loss.LossConfig(k=2.0).get_config()).k == 2.0
+
+
+def test_more_holidays_with_days_around(spark):
+    import datetime as dt
+
+    from barwright.operators.assembly import calendar_features
+
+    days = [dt.date(2024, 3, 4) + dt.timedelta(i) for i in range(5)]
+    df = spark.createDataFrame([("A", d, 1.0) for d in days], "symbol string, ts date, volume double")
+    given = spark.createDataFrame([(days[2],), (days[2],), (days[3],), (None,)], "day date")
+    out = calendar_features(df, more_holidays=given).orderBy("ts").toPandas()
+    assert out.is_holiday.tolist() == [0, 0, 1, 1, 0]
+    assert out.is_day_before_holiday.tolist() == [0, 1, 1, 0, 0]
+    assert out.is_day_after_holiday.tolist() == [0, 0, 0, 1, 1]
+    none = calendar_features(df, more_holidays=given.limit(0)).toPandas()
+    assert none.is_holiday.sum() == 0 and len(none) == 5
+
+
+def test_features_with_models(spark):
+    import numpy as np
+    import pandas as pd
+
+    from barwright.operators.assembly import volatility_features
+
+    close = 100 + np.cumsum(np.random.default_rng(1).normal(0, 1, 60))
+    df = spark.createDataFrame(pd.DataFrame({"symbol": "A", "ts": pd.date_range("2024-01-01", periods=60), "open": close, "high": close + 1, "low": close - 1, "close": close, "volume": 1.0}))
+    plain, whole = volatility_features(df).columns, volatility_features(df, models=True)
+    assert set(whole.columns) - set(plain) == {"garch_vol", "garch_alpha", "garch_beta", "garch_forecast", "egarch_vol", "vol_asymmetry", "vol_of_vol"}
+    assert whole.count() == 60
