@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ranges import running_sums
+from ..functions.student import two_sided
 
 ROOT = math.sqrt(252)
 
@@ -103,3 +104,18 @@ def parameter_stability(sets: DataFrame) -> DataFrame:
     mean = n.join(cv, (F.col("n") == F.col("sets")), "left").groupBy("sets").agg(F.avg("cv").alias("mean_cv"))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.coalesce("mean_cv", F.lit(1.0))))
     return mean.select(F.when(F.col("sets") == 0, 0.0).when(F.col("sets") == 1, 1.0).otherwise(score).alias("stability"))
+
+
+def trend_test(df: DataFrame, y: str, x: str, by: list[str]) -> DataFrame:
+    """Per group: n, slope and intercept of y over x, r2, slope_error, t and its two-sided p_value.
+
+    Rows that lack either take no part. Under three rows, or without spread of x, there is no test; on an exact line t is
+    null and p_value 0."""
+    df = df.where(F.col(y).isNotNull() & F.col(x).isNotNull())
+    fit = {"n": F.count("*"), "slope": F.regr_slope(y, x), "intercept": F.regr_intercept(y, x), "r2": F.regr_r2(y, x), "__y": F.var_pop(y), "__x": F.var_pop(x)}
+    df = df.groupBy(*by).agg(*[v.alias(k) for k, v in fit.items()])
+    free = F.col("n") - 2
+    error = F.when(free > 0, F.sqrt(_ratio(F.greatest(1 - F.col("r2"), F.lit(0.0)) * F.col("__y"), free * F.col("__x"))))
+    df = df.withColumn("slope_error", error).withColumn("t", _ratio(F.col("slope"), F.when(F.round(1 - F.col("r2"), 12) > 0, F.col("slope_error"))))
+    exact = (free > 0) & (F.round(1 - F.col("r2"), 12) <= 0)
+    return df.withColumn("p_value", F.when(exact, 0.0).otherwise(two_sided(F.col("t"), free))).drop("__y", "__x")

@@ -196,6 +196,19 @@ add(
     ctes=LATE + late(fc) + late(STRAT) + rk,
 )
 
+# Trends with probabilities; the SQL has the terms of the sum by gamma functions.
+_K = {1: "exp(lgamma(k + 1) - lgamma(k + 1.5)) * sqrt(pi()) / 2", 0: "exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi())"}
+_TERMS = lambda odd, last: f"coalesce(list_sum(list_transform(range(0, ({last})::BIGINT), lambda k: {_K[odd]} * power(c, 2 * k))), 0)"
+_INSIDE = f"CASE WHEN f % 2 = 1 THEN 2 / pi() * (th + sin(th) * c * {_TERMS(1, '(f - 1) // 2')}) ELSE sin(th) * {_TERMS(0, 'f // 2')} END"
+add(
+    "trend_test",
+    lambda d: m.trend_test(d.withColumn("part", (F.col("row_id") % 90).cast("int")), "y", "row_id", ["symbol", "part"]).drop("slope_error", "intercept"),
+    f"SELECT symbol, part, n, round(slope, 6) AS slope, round(r2, 6) AS r2, round(t, 6) AS t, round(greatest(1 - {_INSIDE}, 0), 6) AS p_value FROM "
+    "(SELECT *, n - 2 AS f, atan(abs(t) / sqrt(n - 2)) AS th, cos(atan(abs(t) / sqrt(n - 2))) AS c FROM "
+    "(SELECT symbol, (row_id % 90)::INT AS part, count(*) AS n, regr_slope(y, row_id) AS slope, regr_r2(y, row_id) AS r2, "
+    "regr_slope(y, row_id) / sqrt((1 - regr_r2(y, row_id)) * var_pop(y) / ((count(*) - 2) * var_pop(row_id))) AS t FROM s WHERE y IS NOT NULL GROUP BY ALL HAVING count(*) > 2))",
+)
+
 # Losses
 add(
     "loss_by_batch_scale",
