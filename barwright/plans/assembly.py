@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.windows import rounded
 from ..operators import assembly as a
 from ..operators import crossasset as x
+from ..operators import figures as fg
 from ..operators import loss as lo
 from ..operators import metrics as m
 from ..operators import blocks as bk
@@ -209,6 +210,36 @@ add(
     "regr_slope(y, row_id) / sqrt((1 - regr_r2(y, row_id)) * var_pop(y) / ((count(*) - 2) * var_pop(row_id))) AS t FROM s WHERE y IS NOT NULL GROUP BY ALL HAVING count(*) > 2))",
 )
 
+# Tables behind figures
+_SCORES = ["rmse", "mae", "direction_accuracy"]
+_SCORE_SQL = "unnest(['rmse', 'mae', 'direction_accuracy']) AS metric, unnest([sqrt(avg(power(y - yhat, 2))), avg(abs(y - yhat)), avg((sign(y) = sign(yhat))::INT)]) AS value"
+_DF3 = "(1 - 2 / pi() * (atan(abs(t) / sqrt(3)) + abs(t) / sqrt(3) / (1 + t * t / 3)))"
+add(
+    "decay_figure",
+    lambda d: fg.decay_figure(d, _SCORES),
+    f"SELECT symbol, part, metric, round(value, 6) AS value, round(slope, 6) AS slope, round({_DF3}, 6) AS p_value, round(first_value(value) OVER (PARTITION BY symbol, metric ORDER BY part) + slope * (part - 1), 6) AS trend FROM "
+    "(SELECT *, slope / sqrt((1 - r2) * vy / (3 * vx)) AS t FROM (SELECT *, regr_slope(value, part) OVER v AS slope, regr_r2(value, part) OVER v AS r2, var_pop(value) OVER v AS vy, var_pop(part) OVER v AS vx FROM "
+    f"(SELECT symbol, greatest(1, ceil(round(rn * 5 / (m - 1.0), 9)))::INT AS part, {_SCORE_SQL} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY row_id) - 1 AS rn, count(*) OVER (PARTITION BY symbol) AS m FROM s WHERE yhat IS NOT NULL) GROUP BY 1, 2) "
+    "WINDOW v AS (PARTITION BY symbol, metric)))",
+)
+_NAMED = " ".join(f"WHEN {k} THEN '{n}'" for k, n in fg.REGIMES.items())
+add("regime_figure", lambda d: fg.regime_figure(d, _SCORES), f"SELECT regime::BIGINT AS regime, CASE regime {_NAMED} END AS regime_name, metric, round(value, 6) AS value FROM (SELECT regime, {_SCORE_SQL} FROM s WHERE yhat IS NOT NULL GROUP BY regime)")
+_BATCHES = ", ".join(f"abs(corr({f}, y))" for f in FEATURES)
+
+
+def _by_batch(d):
+    """Importance by correlation in each of five folds of rows."""
+    folds = d.withColumn("fold", F.col("row_id") % 5).groupBy("fold").agg(*[F.abs(F.corr(f, "y")).alias(f) for f in FEATURES])
+    return folds.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("importance")) for f in FEATURES])))
+
+
+add(
+    "importance_figure",
+    lambda d: fg.importance_figure(_by_batch(d.where("yhat is not null")), 3),
+    f"SELECT feature, round(avg(i), 6) AS mean, round(stddev_pop(i), 6) AS std, row_number() OVER (ORDER BY round(avg(i), 12) DESC, feature) AS rank FROM "
+    f"(SELECT row_id % 5 AS k, {listed(FEATURES, [_BATCHES])} AS i FROM s WHERE yhat IS NOT NULL GROUP BY 1) GROUP BY feature ORDER BY rank LIMIT 3",
+)
+
 # Losses
 add(
     "loss_by_batch_scale",
