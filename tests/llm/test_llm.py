@@ -461,6 +461,29 @@ def test_passages_whose_parts_occur_earlier(spark):
     assert len(whole) == 40 and (whole.matched_words == 114).all()
 
 
+def test_passages_that_pieces_before_and_between_hold(spark):
+    """Every seed of a whole passage meets a piece as the least document and another as the one before."""
+    rng, rows = random.Random(8), []
+    fill = lambda n: " ".join(f"x{rng.randrange(10**9)}" for _ in range(n))
+    for i in range(20):
+        passage = [f"p{i}x{rng.randrange(10**6)}" for _ in range(90)]
+        pieces = [" ".join(passage[j : j + 30]) for j in range(0, 70, 12)]
+        texts = [*pieces, " ".join(passage), *pieces, " ".join(passage), *pieces, " ".join(passage)]
+        rows += [(100 * i + j, " ".join((fill(20), t, fill(20)))) for j, t in enumerate(texts)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    links = {(r.doc_id, r.other_id) for r in got.itertuples() if (r.start, r.end, r.other_start, r.other_end, r.matched_words) == (20, 110, 20, 110, 90)}
+    assert links >= {(100 * i + j, 100 * i + 6) for i in range(20) for j in (13, 20)}
+
+
+def test_minimizers_by_definition():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 9, 10, 11, 50, 400):
+        for h in (rng.integers(0, 1 << 60, n), rng.integers(0, 3, n)):
+            for near in (1, 2, 7, 10, 20):
+                want = {i + int(h[i : i + near].argmin()) for i in range(max(1, n - near + 1))} if n else set()
+                assert passages._minimizers(h, near).tolist() == sorted(want)
+
+
 def test_chains_are_ordered_and_best_first():
     c = passages.Passages()
     found = passages.chains([[0, 0, 10, 10], [12, 500, 20, 508], [15, 14, 30, 29], [40, 45, 60, 65]], c)
