@@ -9,7 +9,8 @@ Each document is the set of its distinct word shingles. One hash function orders
    sketches overlap in ``o`` values or more share one of their ``k - o + 1`` first values in that order, so a class
    enters the lists of those only. Lists with the same members count once.
 3. In each list the class with the most frequent values is the hub. Pairs (hub, member) link most of a group with as
-   many pairs as members. Then pairs of members that the hubs left in different components follow.
+   many pairs as members. Then pairs of members that the hubs left in different components follow; a member is paired
+   only within the bands of sizes for which its place in the order leaves room.
 4. The estimate from the smallest values of the union of two sketches filters pairs; the Jaccard similarity of the full
    sets decides.
 
@@ -184,22 +185,47 @@ def hubs_of(lists: DataFrame) -> DataFrame:
     return once.select("x.value", *(F.col(f"x.h.{y}").alias(f"h_{y}") for y in ("sig", "n", "k", "pos")))
 
 
-def _may_link(c: NearDedup, a: str, b: str) -> F.Column:
-    """Whether sizes and places in the order leave room for a link, if the shared value is the first that they share.
+def _need(c: NearDedup, m: F.Column, n: F.Column) -> F.Column:
+    """Values from the first shared one on, itself included, that sketches of sets of m and n shingles hold if they link.
 
     Sets of m and n shingles that link share p / (1 + p) * (m + n) of them at least. If both are their own sketches, so
     many values must still follow. Else that share of the larger set's retained values is expected in both sketches;
     both sketches' limits vary, so twice the binomial variance is allowed for.
     """
-    col = lambda side, x: F.col(f"{side}_{x}")
-    larger = F.greatest(col(a, "n"), col(b, "n"))
-    both = F.lit(c.percent) * (col(a, "n") + col(b, "n")) / F.lit(100 + c.percent)
+    larger = F.greatest(m, n)
+    both = F.lit(c.percent) * (m + n) / F.lit(100 + c.percent)
     q = F.least(F.lit(1.0), both / larger)
     likely = F.floor(c.retained * q - c.z * F.sqrt(2 * c.retained * q * (1 - q)) - 1)
-    need = F.when(larger <= c.retained, F.ceil(both - F.lit(1e-9))).otherwise(likely)
+    return F.when(larger <= c.retained, F.ceil(both - F.lit(1e-9))).otherwise(likely)
+
+
+def _may_link(c: NearDedup, a: str, b: str) -> F.Column:
+    """Whether sizes and places in the order leave room for a link, if the shared value is the first that they share."""
+    col = lambda side, x: F.col(f"{side}_{x}")
+    larger = F.greatest(col(a, "n"), col(b, "n"))
     room = F.least(col(a, "k") - col(a, "pos"), col(b, "k") - col(b, "pos"))
     sizes = F.least(col(a, "n"), col(b, "n")) * F.lit(100).cast("long") >= larger * F.lit(c.percent).cast("long")
-    return sizes & (room >= need)
+    return sizes & (room >= _need(c, col(a, "n"), col(b, "n")))
+
+
+#: Sizes within two hundredths of each other, roughly, are a band.
+BANDS = 50
+
+
+def _band(n: F.Column) -> F.Column:
+    return F.floor(F.ln(n.cast("double")) * BANDS).cast("int")
+
+
+def _bands(c: NearDedup, n: F.Column, room: F.Column) -> F.Column:
+    """Bands of the sizes that a set of n shingles may link with, if ``room`` of its values follow a shared one.
+
+    What a link needs has no minimum inside a range of sizes: it rises with the other's size up to n, and beyond either
+    rises, or, where the sketches aren't whole, falls. So a band is left out if there isn't room at either end.
+    """
+    least, most = (F.ceil(n * F.lit(c.percent) / 100 - F.lit(1e-9)), F.floor(n * F.lit(100) / c.percent + F.lit(1e-9)))
+    low = lambda b: F.greatest(least, F.floor(F.exp(b / F.lit(float(BANDS)))))
+    high = lambda b: F.least(most, F.ceil(F.exp((b + 1) / F.lit(float(BANDS)))))
+    return F.filter(F.sequence(_band(least), _band(most)), lambda b: (room >= _need(c, n, low(b))) | (room >= _need(c, n, high(b))))
 
 
 def _sent(df: DataFrame, c: NearDedup) -> DataFrame:
@@ -304,8 +330,10 @@ def _judged(docs: DataFrame, c: NearDedup) -> DataFrame:
     named = written(named.join(label.select(F.col("m_sig").alias("h_sig"), F.col("component").alias("h_in")), "h_sig", "left").withColumn("h_in", F.coalesce("h_in", "h_sig")), "named")
     cols = ("sig", "n", "k", "pos", "in")
     apart = named.where("m_in != h_in").select("value", *(F.col(f"m_{x}").alias(f"u_{x}") for x in cols))
-    rest = named.select("value", *(F.col(f"m_{x}").alias(f"w_{x}") for x in cols), (F.col("m_in") != F.col("h_in")).alias("w_apart"))
-    other = apart.join(rest, "value").where("u_in != w_in and (u_sig < w_sig or not w_apart)").where(_may_link(c, "u", "w"))
+    rest = named.select("value", *(F.col(f"m_{x}").alias(f"w_{x}") for x in cols), (F.col("m_in") != F.col("h_in")).alias("w_apart"), _band(F.col("m_n")).alias("band"))
+    # A member meets only those of its lists whose sizes its own place allows, so that large lists don't make all pairs.
+    apart = apart.withColumn("band", F.explode(_bands(c, F.col("u_n"), F.col("u_k") - F.col("u_pos"))))
+    other = apart.join(rest, ["value", "band"]).where("u_in != w_in and (u_sig < w_sig or not w_apart)").where(_may_link(c, "u", "w"))
     more = linked(other.select(F.col("u_sig").alias("x"), F.col("w_sig").alias("y")))
     groups = components(spokes.union(more))
 

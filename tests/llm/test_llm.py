@@ -97,6 +97,19 @@ def test_links_of_sets_around_the_sketch_size(spark):
     assert {r.doc_id: r.component_id for r in got.itertuples() if r.doc_id % 2} == want and sum(v % 2 == 0 for v in want.values()) > 150
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_bands_hold_every_size_that_may_link(spark, percent):
+    """The band of a size is left out only if no place allows it; a late place leaves few of them."""
+    c = near_dedup.NearDedup(words=3, percent=percent)
+    sizes = [1, 2, 7, 40, 398, 505, 512, 513, 560, 640, 3000]
+    pairs = spark.createDataFrame([(n, m) for n in sizes for m in range(max(1, n * percent // 100 - 2), n * 100 // percent + 3)], "u_n int, w_n int")
+    pairs = pairs.withColumns({"u_k": F.least("u_n", F.lit(512)), "w_k": F.least("w_n", F.lit(512)), "w_pos": F.lit(0)}).withColumn("u_pos", F.explode(F.expr("sequence(0, u_k, 3)")))
+    may, bands = near_dedup._may_link(c, "u", "w"), near_dedup._bands(c, F.col("u_n"), F.col("u_k") - F.col("u_pos"))
+    got = pairs.select("u_n", "u_pos", may.alias("may"), F.size(bands).alias("many"), F.array_contains(bands, near_dedup._band(F.col("w_n"))).alias("held")).toPandas()
+    assert got.may.sum() > 1000 and got.held[got.may].all()
+    assert (got.many[(got.u_n == 398) & (got.u_pos == 0)] > 15).all() and (got.many[(got.u_n == 398) & (got.u_pos > 398 * (100 - percent) / 100 + 2)] == 0).all()
+
+
 def test_one_document_of_each_group_stays(spark):
     base = {x: " ".join(f"{x}{i}" for i in range(200)) for x in "abcdefg"}
     near = lambda x: base[x].replace(f"{x}199", "other")
