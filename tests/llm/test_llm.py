@@ -488,6 +488,17 @@ def test_passages_that_pieces_before_and_between_hold(spark):
     assert links >= {(100 * i + j, 100 * i + 6) for i in range(20) for j in (13, 20)}
 
 
+def test_texts_are_cut_into_words_before_they_meet_their_links(spark):
+    """A document with many links is cut once, not once a link; spans are taken from its words."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(600)]
+    rows = [(i, " ".join(["X", *words[50 * i : 50 * i + 50], "Y"])) for i in range(12)] + [(12, " ".join(words).upper())]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("regexp_extract_all" in x for x in plan) and not any("regexp_extract_all" in x and "slice" in x for x in plan)
+    assert {(r.doc_id, r.other_id, r.start, r.end, r.other_start, r.other_end) for r in got.toPandas().itertuples()} == {(12, i, 50 * i, 50 * i + 50, 1, 51) for i in range(12)}
+
+
 def test_minimizers_by_definition():
     rng = np.random.default_rng(1)
     for n in (0, 1, 9, 10, 11, 50, 400):
