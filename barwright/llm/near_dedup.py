@@ -10,7 +10,7 @@ Each document is the set of its distinct word shingles. One hash function orders
    enters the lists of those only. Lists with the same members count once.
 3. In each list the class with the most frequent values is the hub. Pairs (hub, member) link most of a group with as
    many pairs as members. Then pairs of members that the hubs left in different components follow; a member is paired
-   only within the bands of sizes for which its place in the order leaves room.
+   only within the bands of sizes for which its place in the order leaves room, and two members in their first list only.
 4. The estimate from the smallest values of the union of two sketches filters pairs; the Jaccard similarity of the full
    sets decides.
 
@@ -228,6 +228,20 @@ def _bands(c: NearDedup, n: F.Column, room: F.Column) -> F.Column:
     return F.filter(F.sequence(_band(least), _band(most)), lambda b: (room >= _need(c, n, low(b))) | (room >= _need(c, n, high(b))))
 
 
+def _across(named: DataFrame, c: NearDedup) -> DataFrame:
+    """Pairs (u, w) of members of one list that lie in different components, one of them or both not in the hub's.
+
+    A member meets only those of its lists whose sizes its own place allows, and two members only in the first list that
+    holds both, of those that precede it in their orders (``m_before``): near copies share dozens of lists.
+    """
+    cols = ("sig", "n", "k", "pos", "in", "before")
+    apart = named.where("m_in != h_in").select("value", *(F.col(f"m_{x}").alias(f"u_{x}") for x in cols))
+    rest = named.select("value", *(F.col(f"m_{x}").alias(f"w_{x}") for x in cols), (F.col("m_in") != F.col("h_in")).alias("w_apart"), _band(F.col("m_n")).alias("band"))
+    apart = apart.withColumn("band", F.explode(_bands(c, F.col("u_n"), F.col("u_k") - F.col("u_pos"))))
+    met = apart.join(rest, ["value", "band"]).where("u_in != w_in and (u_sig < w_sig or not w_apart)").where(_may_link(c, "u", "w"))
+    return met.where(~F.arrays_overlap("u_before", "w_before"))
+
+
 def _sent(df: DataFrame, c: NearDedup) -> DataFrame:
     """A table of ids to look up, marked for broadcast where its counted rows are few."""
     return F.broadcast(df) if df.limit(c.broadcast_ids + 1).count() <= c.broadcast_ids else df
@@ -327,13 +341,9 @@ def _judged(docs: DataFrame, c: NearDedup) -> DataFrame:
     groups = components(spokes)
     label = groups.select(F.col("node").alias("m_sig"), "component")
     named = grouped.join(label, "m_sig", "left").withColumn("m_in", F.coalesce("component", "m_sig")).drop("component")
-    named = written(named.join(label.select(F.col("m_sig").alias("h_sig"), F.col("component").alias("h_in")), "h_sig", "left").withColumn("h_in", F.coalesce("h_in", "h_sig")), "named")
-    cols = ("sig", "n", "k", "pos", "in")
-    apart = named.where("m_in != h_in").select("value", *(F.col(f"m_{x}").alias(f"u_{x}") for x in cols))
-    rest = named.select("value", *(F.col(f"m_{x}").alias(f"w_{x}") for x in cols), (F.col("m_in") != F.col("h_in")).alias("w_apart"), _band(F.col("m_n")).alias("band"))
-    # A member meets only those of its lists whose sizes its own place allows, so that large lists don't make all pairs.
-    apart = apart.withColumn("band", F.explode(_bands(c, F.col("u_n"), F.col("u_k") - F.col("u_pos"))))
-    other = apart.join(rest, ["value", "band"]).where("u_in != w_in and (u_sig < w_sig or not w_apart)").where(_may_link(c, "u", "w"))
+    named = named.join(label.select(F.col("m_sig").alias("h_sig"), F.col("component").alias("h_in")), "h_sig", "left").withColumn("h_in", F.coalesce("h_in", "h_sig"))
+    earlier = W.partitionBy("m_sig").orderBy("m_pos").rowsBetween(W.unboundedPreceding, -1)
+    other = _across(written(named.withColumn("m_before", F.collect_list("value").over(earlier)), "named"), c)
     more = linked(other.select(F.col("u_sig").alias("x"), F.col("w_sig").alias("y")))
     groups = components(spokes.union(more))
 

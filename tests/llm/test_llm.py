@@ -110,6 +110,22 @@ def test_bands_hold_every_size_that_may_link(spark, percent):
     assert (got.many[(got.u_n == 398) & (got.u_pos == 0)] > 15).all() and (got.many[(got.u_n == 398) & (got.u_pos > 398 * (100 - percent) / 100 + 2)] == 0).all()
 
 
+def test_two_members_meet_in_their_first_list_only(spark, monkeypatch):
+    """Versions of a text that share their changes, most of them just too far apart, have many lists in common."""
+    rng, texts, met = random.Random(6), {}, []
+    for i in range(60):
+        words = [f"b{j}" for j in range(200)]
+        for j in range(20):
+            words[10 * j] = f"b{10 * j}x{rng.randrange(2)}"
+        texts[i] = " ".join(words)
+    across = near_dedup._across
+    monkeypatch.setattr(near_dedup, "_across", lambda *a: met.append(across(*a)) or met[-1])
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), near_dedup.NearDedup(words=3, percent=85)).toPandas()
+    pairs = met[0].select(F.least("u_sig", "w_sig").alias("a"), F.greatest("u_sig", "w_sig").alias("b")).toPandas()
+    assert {r.doc_id: r.component_id for r in got.itertuples()} == linked(texts, 3, 85)[1]
+    assert len(pairs) > 20 and not pairs.duplicated().any()
+
+
 def test_one_document_of_each_group_stays(spark):
     base = {x: " ".join(f"{x}{i}" for i in range(200)) for x in "abcdefg"}
     near = lambda x: base[x].replace(f"{x}199", "other")
