@@ -25,7 +25,7 @@ class TokenFiles:
     row_group: int = 16 << 20
     page: int = 256 << 10
     rows: int = 2000
-    remembered: int = 600_000
+    remembered: int = 1_200_000
 
 
 SHAPE = "part int, doc_id long, part_start long, n_tokens long, tokens array<int>"

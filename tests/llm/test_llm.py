@@ -331,6 +331,18 @@ def test_syncmer_anchors_of_a_head_stay(spark):
     assert [x for x in a if x.place <= 55] == [x for x in b if x.place <= 55] and len([x for x in a if x.place <= 55]) > 15 and none == []
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_met_again_stay_remembered(name):
+    """New words push out those not met since; marks after a word don't take it through the whole library."""
+    words, seen = WordEncoder(queries.vocabulary(name), 8, special=True), []
+    plain = words._plain
+    words._plain = lambda *a: seen.append(a) or plain(*a)
+    texts = [f"often new{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]} été{'#$%&*'[i % 5] * (i % 4)} été's X#1 a#b" for i in range(60)]
+    assert words.encode(texts) == [words._whole(t) for t in texts]
+    assert words.direct and sum(a[1] == "often" for a in seen) == 1 and sum(a[2] != "" for a in seen) > 0
+    assert len(words) <= 4 and len(words.older) <= 4
+
+
 def test_token_files_read_back(spark, sf, docs):
     from tokenizers import Tokenizer
 
